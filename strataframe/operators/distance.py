@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import algebra as A
+from .blocks import extent
 from .focal import _down
 
+#: Cells of the rows that are handled together in the second pass.
+BAND_CELLS = 1 << 18
+
 
 def lower_envelope(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """min over j of f[j] + (i - j)^2 for all i, and the j that has it (the least one); f may be infinite."""
@@ -35,7 +39,7 @@ def lower_envelope(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def distance(cells: DataFrame, seed: Column, name: str = "d") -> DataFrame:
     """(r, c, d, seed_r, seed_c): distance in cells to the nearest seed, and that seed; null where the grid has none.
 
-    Pass 1, windows along columns: nearest seed above or below. Pass 2, a row of the grid at a time: lower
+    Pass 1, windows along columns: nearest seed above or below. Pass 2, rows of the grid: lower
     envelope of parabolas, linear in the row's length. Of seeds at one distance the upper and left one is named.
     """
     first = cells.select("r", "c", F.when(seed, F.col("r")).alias("at"))
@@ -44,21 +48,24 @@ def distance(cells: DataFrame, seed: Column, name: str = "d") -> DataFrame:
     near = first.select("r", "c", above.alias("a"), below.alias("b"))
     near = near.select("r", "c", F.expr("case when a is null then b when b is null then a when r - a <= b - r then a else b end").alias("sr"))
 
-    def run(row: pd.DataFrame) -> pd.DataFrame:
-        row = row.sort_values("c")
-        c, r = row["c"].to_numpy(), int(row["r"].iloc[0])
-        sr = row["sr"].to_numpy(dtype=float, na_value=np.nan)
-        c0 = int(c[0])
-        f = np.full(int(c[-1]) - c0 + 1, np.inf)
-        f[c - c0] = np.where(np.isnan(sr), np.inf, (sr - r) ** 2)
-        d2, at = lower_envelope(f)
-        rows = np.full(len(f), np.nan)
-        rows[c - c0] = sr
-        none = at < 0
-        back = pd.DataFrame({"r": row["r"].to_numpy(), "c": c, name: np.where(none, np.nan, np.sqrt(d2))[c - c0], "seed_r": np.where(none, np.nan, rows[at])[c - c0], "seed_c": np.where(none, np.nan, at + c0)[c - c0]})
-        return back.astype({"seed_r": "Int32", "seed_c": "Int32", "r": "int32", "c": "int32"})
-
-    out = near.groupBy("r").applyInPandas(run, f"r int, c int, {name} double, seed_r int, seed_c int")
+    rows = max(1, min(256, BAND_CELLS // max(1, extent(cells)[1])))
+
+    def run(band: pd.DataFrame) -> pd.DataFrame:
+        band = band.sort_values(["r", "c"])
+        r, c, sr = band["r"].to_numpy(), band["c"].to_numpy(), band["sr"].to_numpy(dtype=float, na_value=np.nan)
+        d, seed_r, seed_c = np.full(len(r), np.nan), np.full(len(r), np.nan), np.full(len(r), np.nan)
+        ends = np.r_[np.flatnonzero(np.diff(r)) + 1, len(r)]
+        for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True):
+            at = c[a:b] - c[a]
+            f, up = np.full(at[-1] + 1, np.inf), np.full(at[-1] + 1, np.nan)
+            f[at] = np.where(np.isnan(sr[a:b]), np.inf, (sr[a:b] - r[a]) ** 2)
+            up[at] = sr[a:b]
+            d2, j = lower_envelope(f)
+            if j[0] >= 0:
+                d[a:b], seed_r[a:b], seed_c[a:b] = np.sqrt(d2[at]), up[j[at]], j[at] + c[a]
+        return pd.DataFrame({"r": r, "c": c, name: d, "seed_r": seed_r, "seed_c": seed_c}).astype({"seed_r": "Int32", "seed_c": "Int32", "r": "int32", "c": "int32"})
+
+    out = near.groupBy(F.floor(F.col("r") / F.lit(rows))).applyInPandas(run, f"r int, c int, {name} double, seed_r int, seed_c int")
     return out.withColumn(name, F.nanvl(F.col(name), F.lit(None).cast("double")))
 
 

@@ -115,20 +115,21 @@ def flow(edges: DataFrame) -> DataFrame:
     e = cut(edges.select("source", "target"))
     nodes = e.select(F.col("source").alias("node")).unionByName(e.select(F.col("target").alias("node"))).distinct()
     waits = cut(nodes.join(e.groupBy(F.col("target").alias("node")).agg(F.count("*").alias("k")), "node", "left").select("node", F.coalesce("k", F.lit(0)).alias("k")))
-    ready = cut(waits.where("k = 0").select("node", F.lit(1).cast("long").alias("flow"), F.lit(1).alias("strahler"), F.lit(0).alias("level")))
-    done, level = [ready], 0
-    inflow = None
+    ready = waits.where("k = 0").select("node", F.lit(1).cast("long").alias("flow"), F.lit(1).alias("strahler"), F.lit(0).alias("level"))
+    done, level, rest = [ready], 0, None
     while True:
         level += 1
-        came = ready.join(e, ready["node"] == e["source"]).groupBy(F.col("target").alias("node"), F.col("strahler").alias("s")).agg(F.sum("flow").alias("f"), F.count("*").alias("n"))
-        inflow = came if inflow is None else inflow.unionByName(came)
-        inflow = cut(inflow.groupBy("node", "s").agg(F.sum("f").alias("f"), F.sum("n").alias("n")))
-        total = inflow.groupBy("node").agg(F.sum("f").alias("f"), F.sum("n").alias("got"), F.max(F.struct("s", "n")).alias("top"))
-        whole = total.join(waits, "node").where("got = k")
-        ready = cut(whole.select("node", (F.col("f") + 1).cast("long").alias("flow"), F.expr("cast(top.s + if(top.n >= 2, 1, 0) as int)").alias("strahler"), F.lit(level).alias("level")))
+        # what came in so far: the highest order, how many have it, all flow and edges
+        came = ready.join(e, ready["node"] == e["source"]).select(F.col("target").alias("node"), F.col("strahler").alias("s"), F.lit(1).cast("long").alias("c"), F.col("flow").alias("f"), F.lit(1).cast("long").alias("n"))
+        if rest is not None:
+            came = came.unionByName(rest)
+        by_order = came.groupBy("node", "s").agg(F.sum("c").alias("c"), F.sum("f").alias("f"), F.sum("n").alias("n"))
+        total = by_order.groupBy("node").agg(F.max(F.struct("s", "c")).alias("top"), F.sum("f").alias("f"), F.sum("n").alias("n"))
+        state = cut(total.join(waits, "node").select("node", "top.s", "top.c", "f", "n", "k"))
+        ready = state.where("n = k").select("node", (F.col("f") + 1).cast("long").alias("flow"), F.expr("cast(s + if(c >= 2, 1, 0) as int)").alias("strahler"), F.lit(level).alias("level"))
         if not ready.take(1):
             break
-        inflow = cut(inflow.join(ready.select("node"), "node", "left_anti"))
+        rest = state.where("n < k").select("node", "s", "c", "f", "n")
         done.append(ready)
     out = done[0]
     for x in done[1:]:
