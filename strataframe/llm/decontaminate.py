@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing as H
-from .shared import cut, discard
+from .shared import cut, discard, small_batches
 
 WINDOW = 13
 SHINGLE = 5
@@ -177,6 +177,7 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, block_words: int, window: int
 
 def _run(docs: DataFrame, benchmark: DataFrame, last, schema, block_words: int, window: int) -> DataFrame:
     spark, rows, before = docs.sparkSession, docs, None
+    small_batches(spark)
     for index, k, n in _blocks(docs, benchmark, block_words, window):
         given = spark.sparkContext.broadcast(index)
         if k == n - 1:

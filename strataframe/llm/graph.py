@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from .shared import cut, discard, is_empty, union_all
 
 
+#: Pairs for each row of the buckets up to which what the stars left is compared in full.
+FULL = 4
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """df in as many partitions as its rows need (df is a written table)."""
+    return df.coalesce(max(1, df.count() // 20_000))
+
+
 def connected(links: DataFrame) -> DataFrame:
     """links (a, b) -> (id, comp), comp the smallest id reachable. Alternating large and small stars.
 
@@ -18,26 +27,35 @@ def connected(links: DataFrame) -> DataFrame:
     edges = cut(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    while True:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    while not _is_star_forest(_sized(edges)):
+        few = _sized(edges)
+        both = few.select("u", "v").unionByName(few.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        after = cut(small.where("u <> v").distinct())
-        changed = not is_empty(after.join(edges, ["u", "v"], "left_anti")) or not is_empty(edges.join(after, ["u", "v"], "left_anti"))
+        few = _sized(large)
+        down = few.groupBy("u").agg(F.min("v").alias("m"))
+        up = few.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        small = cut(up.where("u <> v").distinct())
         discard(edges, large)
-        edges = after
-        if not changed:
-            roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("comp"))
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(roots)
+        edges = small
+    edges = _sized(edges)
+    roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("comp"))
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(roots)
+
+
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether each u has one v, and no v is a u."""
+    ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return is_empty(ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1"))
 
 
 def linked_groups(
     buckets: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     may_link: Callable[[Column, Column], Column] | None = None,
-    stars: int = 6,
+    stars: int = 3,
+    sketches: DataFrame | None = None,
+    near: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame | None:
     """Groups connected by verified links among ids that share a bucket; None if there is no link.
 
@@ -45,23 +63,23 @@ def linked_groups(
     necessary condition on two sigs. A bucket of g ids is not expanded into its pairs: in each round
     every id is compared with one leader of each of its buckets, and only buckets whose ids are still in
     different groups go on. What is left at the end is compared in full, so that no link between
-    groups is missed; ids of one group need no further comparison.
+    groups is missed; ids of one group need no further comparison. sketches (id, sketch) and near: another
+    necessary condition, for the full comparison only.
     """
     may_link = may_link or (lambda x, y: F.lit(True))
     dealt = buckets.repartition("key")
     live = cut(dealt.join(dealt.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("key"), "key", "left_semi").distinct())
-    links, tested, groups = None, None, None
+    tested: list[DataFrame] = []
+    groups = None
     for k in range(stars + 1):
         rows = live.withColumn("comp", F.col("id"))
         if groups is not None:
-            rows = live.join(groups, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            kept = rows.repartition("key")
-            kept = kept.join(kept.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key"), "key", "left_semi")
-            rest = cut(kept)
+            kept = live.join(groups, "id", "left").withColumn("comp", F.coalesce("comp", "id")).repartition("key")
+            kept = cut(kept.join(kept.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key"), "key", "left_semi"))
             discard(live)
-            live = rest.select("key", "id", "sig")
-            live._cut_path = rest._cut_path
-            rows = rest
+            rows = kept
+            live = kept.select("key", "id", "sig")
+            live._cut_path = kept._cut_path
         last = k == stars
         if not last and k:
             by_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("g"))
@@ -69,27 +87,44 @@ def linked_groups(
             got = size.agg(F.sum("n"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2)).first()
             if got[0] is None:
                 break
-            last = got[1] <= 2 * got[0]
+            last = got[1] <= FULL * got[0]
         left = rows.select("key", F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("comp").alias("ca"))
         if last:
-            right = rows.select("key", F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("comp").alias("cb"))
-            pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link(F.col("sa"), F.col("sb")))
+            if sketches is not None:
+                rows = rows.join(sketches, "id")
+                left = rows.select("key", F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("comp").alias("ca"), F.col("sketch").alias("ka"))
+            right = rows.select("key", F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("comp").alias("cb"), *([F.col("sketch").alias("kb")] if sketches is not None else []))
+            close = near(F.col("ka"), F.col("kb")) if sketches is not None else F.lit(True)
+            pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link(F.col("sa"), F.col("sb")) & close)
         else:
             lead = rows.groupBy("key").agg(F.min_by(F.struct("id", "sig", "comp"), F.xxhash64(F.col("id"), F.lit(k))).alias("l"))
             right = lead.select("key", F.col("l.id").alias("b"), F.col("l.sig").alias("sb"), F.col("l.comp").alias("cb"))
             pairs = left.join(right, "key").where((F.col("ca") != F.col("cb")) & may_link(F.col("sa"), F.col("sb")))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
+        if tested:
             pairs = pairs.join(union_all(tested), ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        tested = (tested or []) + [pairs]
+        tested.append(pairs)
         new = cut(verify(pairs))
-        links = (links or []) + [new]
         if not is_empty(new):
-            groups = cut(connected(union_all(links)))
+            groups = _merged(groups, new)
+        discard(new)
         if last:
             break
-        if groups is None and is_empty(pairs) and k:
-            continue
     discard(live, *tested)
     return groups
+
+
+def _merged(groups: DataFrame | None, links: DataFrame) -> DataFrame:
+    """groups after links between them."""
+    if groups is None:
+        return cut(connected(links))
+    of = lambda end: groups.select(F.col("id").alias(end), F.col("comp").alias("c" + end))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    higher = cut(connected(between).select(F.col("id").alias("comp"), F.col("comp").alias("top")))
+    moved = groups.join(higher, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp"))
+    # ids that had no group are comps of their own in the links between
+    fresh = higher.select(F.col("comp").alias("id"), F.col("top").alias("comp")).join(groups.select("id"), "id", "left_anti")
+    out = cut(moved.unionByName(fresh))
+    discard(groups, higher)
+    return out

@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text handled at once; a longer text is handled alone, in pieces of about this size.
-SLICE = 2 << 20
+SLICE = 1 << 20
 _rng = np.random.RandomState(20_240_601)
 TABLE = _rng.randint(1, 2**63 - 1, 256, dtype=np.int64).astype(U) * U(2) + U(1)
 BASE = U(0x9E3779B97F4A7C15)

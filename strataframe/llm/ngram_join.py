@@ -16,15 +16,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
 from .graph import linked_groups
-from .shared import cut, discard, parts
+from .shared import cut, discard, parts, small_batches
 
 #: Tokens that a task gathers before it sends them on.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
+#: Words of a parity sketch's folded form, and so of the shortest sketch.
+FOLD = 16
+#: Distinct sets that may have a token for it to be rare.
+RARE = 64
 _PACKED = "p int, doc_id long, n long, fp long, fps binary, ns binary, counts binary, tokens binary"
 _NAMES = [x.split()[0] for x in _PACKED.split(", ")]
 _SCHEMA = pa.schema([("p", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), *((x, pa.binary()) for x in _NAMES[4:])])
@@ -93,7 +97,10 @@ def _tokens_of(sets: Callable[[list[bytes]], list[np.ndarray]], places: int) ->
 
 
 def _shared(places: int) -> Callable:
-    """Of a partition of the universe: tokens that two distinct sets or more have. Documents pass."""
+    """Of a partition of the universe: tokens that two distinct sets or more have. Documents pass.
+
+    The lowest bit of a token tells from here on whether it is rare: in RARE distinct sets at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -111,8 +118,13 @@ def _shared(places: int) -> Callable:
         order = np.argsort(tokens)
         fps, ns, tokens = fps[order], ns[order], tokens[order]
         first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        size = np.diff(np.r_[first, len(tokens)])
         several = np.minimum.reduceat(fps, first) != np.maximum.reduceat(fps, first)
-        keep = np.repeat(several, np.diff(np.r_[first, len(tokens)]))
+        rare = size <= RARE
+        for i in np.flatnonzero(several & ~rare).tolist():  # copies in other tasks count once
+            rare[i] = len(np.unique(fps[first[i] : first[i] + size[i]])) <= RARE
+        keep = np.repeat(several, size)
+        tokens = (tokens & ~H.U(1)) | np.repeat(rare, size).astype(H.U)
         fps, ns, tokens = fps[keep], ns[keep], tokens[keep]
         order = np.argsort(fps, kind="stable")
         fps = fps[order]
@@ -121,6 +133,19 @@ def _shared(places: int) -> Callable:
     return run
 
 
+def _parity(places: np.ndarray, n: int) -> np.ndarray:
+    """Parity sketch of a set of n tokens, of twice as many bits or more: two sets differ in as many tokens as their sketches in bits, at least."""
+    words = FOLD
+    while words * 32 < n:
+        words *= 2
+    odd = np.bincount((places % H.U(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _folded(sketch: np.ndarray) -> np.ndarray:
+    return np.bitwise_xor.reduce(sketch.reshape(-1, FOLD), axis=0)
+
+
 def _candidates(share: float) -> Callable:
     """Sets of which enough tokens are shared, with those tokens."""
 
@@ -137,9 +162,13 @@ def _candidates(share: float) -> Callable:
         full = count >= share * ns[first]
         keep = np.repeat(full, count)
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count[full])].astype(np.int32)), pa.array(tokens[keep].view(np.int64)))
-        step = 4096
-        table = pa.table({"id": pa.array(fps[first[full]]), "n": pa.array(ns[first[full]].astype(np.int64)), "tokens": lists})
-        yield from table.to_batches(max_chunksize=step)
+        places = H.mix(tokens[keep])
+        ends = np.cumsum(count[full])
+        sketches = [_parity(places[b - n : b], int(size)) for b, n, size in zip(ends.tolist(), count[full].tolist(), ns[first[full]].tolist(), strict=True)]
+        fold = pa.ListArray.from_arrays(pa.array(np.arange(len(ends) + 1, dtype=np.int32) * FOLD), pa.array(np.concatenate([_folded(x) for x in sketches]) if sketches else np.zeros(0, np.int64)))
+        sketch = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in sketches])].astype(np.int32)), pa.array(np.concatenate(sketches) if sketches else np.zeros(0, np.int64)))
+        table = pa.table({"id": pa.array(fps[first[full]]), "n": pa.array(ns[first[full]].astype(np.int64)), "tokens": lists, "fold": fold, "sketch": sketch})
+        yield from table.to_batches(max_chunksize=4096)
 
     return run
 
@@ -157,39 +186,68 @@ def _signatures(tau: float, spare: float) -> Callable:
     top = [x - 1 for x in lows[1:]]
     apart = lambda both: int((1 - tau) / (1 + tau) * both + 1e-9)  # noqa: E731  most tokens in which two sets of these sizes differ
 
-    def of(n: int, tokens: np.ndarray) -> list[np.ndarray]:
-        out = []
+    def segments(level: int, universe: int, m: int, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
+        """By segment that has tokens: sizes, sums of hashes and places; and the hashes in order."""
+        mixed = H.mix(tokens + H.U((level + 1 + universe * 1000) * int(H.STEP) % 2**64))
+        seg = (mixed % H.U(m)).astype(np.int64)
+        order = np.argsort(seg, kind="stable")
+        seg, mixed = seg[order], mixed[order]
+        first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]]) if len(seg) else seg
+        sums = np.add.reduceat(mixed, first) if len(seg) else mixed
+        return np.diff(np.r_[first, len(seg)]), sums, H.U((universe << 60) + (level << 40)) + seg[first].astype(H.U) + H.U(1), mixed
+
+    def of(n: int, tokens: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+        """Keys, the group they are of, and how many of the group's most frequent keys may go."""
+        out: list[tuple[np.ndarray, int, int]] = []
         own = int(np.searchsorted(lows, n, "right")) - 1
+        rare = tokens[(tokens & H.U(1)) == 1]
         for level in range(max(0, own - 1), own + 1):
             m = int(np.ceil((1 + spare) * (apart(top[level] + top[level + 1]) + 1)))
             differ = apart(n + min(int(n / tau), top[level + 1])) - (n - len(tokens))
-            mixed = H.mix(tokens + H.U((level + 1) * int(H.STEP) % 2**64))
-            seg = (mixed % H.U(m)).astype(np.int64)
-            order = np.argsort(seg, kind="stable")
-            seg, mixed = seg[order], mixed[order]
-            first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-            sums = np.add.reduceat(mixed, first)
-            place = (H.U(level) << H.U(40)) + seg[first].astype(H.U) + H.U(1)
-            out.append(H.mix(H.mix(sums) + place * H.BASE))
-            if len(first) <= differ:  # the segments that hold tokens may all differ: one of those may differ by one token only
-                size = np.diff(np.r_[first, len(seg)])
-                many = np.repeat(size > 1, size)
-                out.append(H.mix(H.mix(np.repeat(sums, size) - mixed) + np.repeat(place, size) * H.BASE)[many])
-                if len(first) + int((size > 1).sum()) <= differ:  # not even that is certain: each token by itself
-                    out.append(H.mix(tokens * H.STEP + H.U(level)))
+            if differ < 0:  # more tokens are unshared than may differ
+                continue
+            # allocation, from the cheapest: subsets of rare tokens; of all tokens; with one token less; single tokens.
+            # Each is exact where more segments hold tokens than can differ, and the next is for the rest.
+            size, sums, place, _ = segments(level, 0, m, rare)
+            out.append((H.mix(H.mix(sums) + place * H.BASE), level * 4, max(0, len(size) - differ - 1)))
+            if len(size) > differ:
+                continue
+            size, sums, place, mixed = segments(level, 1, m, tokens)
+            out.append((H.mix(H.mix(sums) + place * H.BASE), level * 4 + 1, max(0, len(size) - differ - 1)))
+            if len(size) > differ:
+                continue
+            many = np.repeat(size > 1, size)
+            out.append((H.mix(H.mix(np.repeat(sums, size) - mixed) + np.repeat(place, size) * H.BASE)[many], level * 4 + 2, 0))
+            if len(size) + int((size > 1).sum()) <= differ:
+                out.append((H.mix(tokens * H.STEP + H.U(level)), level * 4 + 3, 0))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, len(batch), 512):
                 part = batch.slice(a, 512)
-                keys = [np.concatenate(of(n, np.array(x, np.int64).view(H.U))) for n, x in zip(part["n"].to_pylist(), part["tokens"].to_pylist(), strict=True)]
-                ids = np.repeat(part["id"].to_numpy(zero_copy_only=False), [len(k) for k in keys])
-                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids)], names=["key", "id"])
+                found = [(i, *x) for i, n, t in zip(part["id"].to_pylist(), part["n"].to_pylist(), part["tokens"].to_pylist(), strict=True) for x in of(n, np.array(t, np.int64).view(H.U))]
+                if not found:
+                    continue
+                times = [len(k) for _, k, _, _ in found]
+                each = lambda j, kind, found=found, times=times: pa.array(np.repeat(np.array([x[j] for x in found], kind), times))
+                yield pa.record_batch([pa.array(np.concatenate([k for _, k, _, _ in found]).view(np.int64)), each(0, np.int64), each(2, np.int32), each(3, np.int32)], names=["key", "id", "grp", "spare"])
 
     return run
 
 
+def _prefixes(keys: DataFrame) -> DataFrame:
+    """Rows (key, id) that candidates must meet in: the rarest keys of each document.
+
+    Of a group's k keys, similar documents share all but as many as may differ (d). So the d + 1 rarest
+    of each, in one order of all keys, have one in common, and the k - d - 1 most frequent may go. Keys
+    of one document meet nothing.
+    """
+    met = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    most_first = Window.partitionBy("id", "grp").orderBy(F.desc("n"), F.desc("key"))
+    return met.withColumn("place", F.row_number().over(most_first)).where("place > spare").select("key", "id")
+
+
 def ngram_components(docs: DataFrame, sets: Callable[[list[bytes]], list[np.ndarray]] = H.shingles, tau: float = 0.75, spare: float = 0.15) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs, which needs doc_id and text.
 
@@ -201,13 +259,15 @@ def ngram_components(docs: DataFrame, sets: Callable[[list[bytes]], list[np.ndar
     share of segments above the least number, so that most documents need no deletion neighbourhoods.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     places = parts(spark)
     sent = docs.select("doc_id", "text").mapInArrow(_tokens_of(sets, places), _PACKED)
     found = cut(sent.repartition(places, "p").mapInArrow(_shared(places), _PACKED))
     listed = found.where("n is not null").select("doc_id", "n", "fp")
     packs = found.where("tokens is not null")
-    full = cut(packs.repartition(places, "p").mapInArrow(_candidates(tau), "id long, n long, tokens array<long>"))
-    buckets = full.mapInArrow(_signatures(tau, spare), "key long, id long").withColumn("sig", F.lit(None).cast("long"))
+    full = cut(packs.repartition(places, "p").mapInArrow(_candidates(tau), "id long, n long, tokens array<long>, fold array<long>, sketch array<long>"))
+    keys = full.select("id", "n", "tokens").mapInArrow(_signatures(tau, spare), "key long, id long, grp int, spare int")
+    buckets = _prefixes(keys).withColumn("sig", F.lit(None).cast("long"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = full.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
@@ -216,7 +276,12 @@ def ngram_components(docs: DataFrame, sets: Callable[[list[bytes]], list[np.ndar
         sized = pairs.join(a, "a").join(b, "b").where("least(na, nb) >= greatest(na, nb) * {}D".format(tau))
         return sized.select("a", "b", "na", "nb", both.alias("i")).where(f"i >= {tau}D * (na + nb - i) - 1e-9D").select("a", "b")
 
-    groups = linked_groups(buckets, verify)
+    sketches = full.select("id", F.struct("n", (F.col("n") - F.size("tokens")).alias("own"), "fold", "sketch").alias("sketch"))
+    most = f"((1 - {tau}D) / (1 + {tau}D) * (ka.n + kb.n) - ka.own - kb.own + 1e-9D)"
+    short = " + ".join(f"bit_count(ka.fold[{i}] ^ kb.fold[{i}])" for i in range(FOLD))
+    full_length = "aggregate(zip_with(ka.sketch, kb.sketch, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    near = f"{short} <= {most} and (size(ka.sketch) <> size(kb.sketch) or size(ka.sketch) = {FOLD} or {full_length} <= {most})"
+    groups = linked_groups(buckets, verify, sketches=sketches, near=lambda x, y: F.expr(near))
     discard(full)
     # Copies first: one row a distinct set, so that a group of copies of any size meets as sums of tasks.
     own = listed.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))

@@ -59,6 +59,13 @@ def parts(spark: SparkSession, least: int = 16) -> int:
     return max(least, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python workers get whole texts in batches of so many rows at most (a setting of the session)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     frames = list(frames)
     out = frames[0]

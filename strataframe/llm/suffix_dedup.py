@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .shared import cut, discard, parts, union_all
+from .shared import cut, discard, parts, small_batches, union_all
 
 LENGTH = 400
 GRAM = 100
@@ -286,6 +286,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     Spans of one text may overlap or touch. Texts without such a string have no row.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = parts(spark)
     named = docs.select(F.unhex(F.md5("text")).alias("th"), "text").where(F.octet_length("text") >= length)
     anchors = cut(named.mapInArrow(_find_anchors(length, gram), "th binary, p long, o1 int, o2 int, ah long, r0 long"))
