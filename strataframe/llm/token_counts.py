@@ -5,7 +5,7 @@ characters and its number of tokens, an inner node the sums. An edit finds its l
 and encodes only their text (and what two characters of context on either side touch), and updates the
 sums above them.
 
-Runs are cut where a word begins after a blank or a line end. With a pre-token pattern of the kind below
+Runs are cut before a single blank or line end. With a pre-token pattern of the kind below
 such a place is a boundary whatever stands further away, so that the counts of runs add up exactly.
 """
 
@@ -30,8 +30,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LEAF = 512
 _CONTEXT = 2
 _EDIT = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("text", T.StringType())]))
-#: After these characters (a letter and a blank, or one and a line end) a run may begin at the blank.
-_CUT = re.compile(r"(?<=[^\W\d_])(?=[ \n][^\W\d_])")
+#: A run may begin at one blank or line end that has no other beside it.
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
 @lru_cache(maxsize=4)
