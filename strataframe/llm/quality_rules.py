@@ -28,6 +28,8 @@ MEASURES = {
     "capitals": ("n_upper / n_words", 1.0, False),
     "shouts": ("n_shouts / n_words", 0.25, False),
 }
+#: Groups up to which their fences are broadcast: some 200 bytes each. Beyond, documents are joined over SALTS copies.
+FEW_GROUPS = 20_000
 SALTS = 16
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts"]
 
@@ -129,14 +131,21 @@ def judged(measured: DataFrame, name: str = "m") -> DataFrame:
 
     Documents of fewer than 50 words, or of which more than half lie in repeated three-word windows, fail
     at once; the others are kept if all measures are within their group's fences. Null languages and
-    sources are groups of their own. Groups are dealt over SALTS copies of their fences.
+    sources are groups of their own.
     """
-    table = fences(sketches(measured, name))
+    table = cut(fences(sketches(measured, name)))
     columns = [c for c in table.columns if c not in ("lang", "source")]
-    salted = table.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.struct(*columns).alias("__f"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-    rows = measured.withColumns({"__lang": F.coalesce("lang", F.lit("")), "__source": F.coalesce("source", F.lit("")), "__salt": F.pmod(F.xxhash64("doc_id", f"{name}.word_chars"), F.lit(SALTS)).cast("int")})
+    groups = table.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.struct(*columns).alias("__f"))
+    on = ["__lang", "__source"]
+    rows = measured.withColumns({"__lang": F.coalesce("lang", F.lit("")), "__source": F.coalesce("source", F.lit(""))})
+    if table.count() <= FEW_GROUPS:
+        groups = F.broadcast(groups)
+    else:
+        groups = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id", f"{name}.word_chars"), F.lit(SALTS)).cast("int"))
+        on = [*on, "__salt"]
     failed = f"({name}.n_words < 50 or 100 * {name}.n_repeat_words > 50 * {name}.n_words)"
-    joined = rows.join(salted, ["__lang", "__source", "__salt"], "left")
+    joined = rows.join(groups, on, "left")
     return joined.select(*measured.columns, F.expr(failed).alias("base_failed"), F.expr(f"not {failed} and coalesce({_verdict(name)}, false)").alias("kept"))
 
 
