@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import algebra as A
 from .blocks import extent
 from .focal import _down
+from .resample import bilinear, strided
 
 #: Cells of the rows that are handled together in the second pass.
 BAND_CELLS = 1 << 18
@@ -83,6 +84,14 @@ def taper(cells: DataFrame, sea: Column, reach: float, power: float = 2.0, name:
     return cells.join(d, ["r", "c"]).withColumn(name, F.coalesce(weight, F.lit(1.0))).drop("d")
 
 
+def coarse_taper(cells: DataFrame, sea: Column, reach: float, power: float = 2.0, step: int = 10, name: str = "taper") -> DataFrame:
+    """taper() worked out on every step-th row and column and interpolated: a field for grids where the full one isn't worth its cost."""
+    h, w = extent(cells)
+    low = taper(strided(cells.withColumn("__sea", F.coalesce(sea, F.lit(False))).select("r", "c", "__sea"), step), F.col("__sea"), reach / step, power, "__t")
+    field = bilinear(low, "__t", -(-h // step), -(-w // step), h, w, corners=False)
+    return cells.join(field, ["r", "c"]).withColumnRenamed("__t", name)
+
+
 def between_ramp(cells: DataFrame, mask: Column, low: Column, high: Column, name: str = "ramp") -> DataFrame:
     """cells and 0..1 across a mask: share of the distance from low cells in that to low and high cells; 0 outside."""
     a, b = distance(cells, low, "dl").select("r", "c", "dl"), distance(cells, high, "dh").select("r", "c", "dh")

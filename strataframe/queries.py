@@ -262,6 +262,17 @@ def coastal_taper(spark, d):
     return at.select("r", "c", rounded("taper").alias("taper"), F.rint(A.to_units(F.col("elev")) * F.col("taper")).cast("int").alias("units"))
 
 
+@query(
+    with_(O)
+    + """, low as (select r // 2 r, c // 2 c, (r * 100 + c) % 97 = 0 sea from grid_o where r % 2 = 0 and c % 2 = 0), size as (select max(r) + 1.0::double h, max(c) + 1.0::double w from grid_o), ls as (select max(r) + 1.0::double lh, max(c) + 1.0::double lw from low),
+t as (select a.r, a.c, pow(least(1, min(sqrt((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c))) / 5.0::double), 2.0::double) v from low a, (select * from low where sea) b group by a.r, a.c),
+p as (select r, c, greatest(0, least(lh - 1, (r + 0.5) * lh / h - 0.5)) y, greatest(0, least(lw - 1, (c + 0.5) * lw / w - 0.5)) x, lh, lw from grid_o, size, ls), q as (select *, cast(floor(y) as int) y0, cast(floor(x) as int) x0 from p)
+select q.r, q.c, round(sum(t.v * (1 - abs(y - (y0 + i))) * (1 - abs(x - (x0 + j)))), 6) + 0.0 taper from q, range(0, 2) s(i), range(0, 2) u(j), t where t.r = least(y0 + i, lh - 1) and t.c = least(x0 + j, lw - 1) and 1 - abs(y - (y0 + i)) > 0 and 1 - abs(x - (x0 + j)) > 0 group by q.r, q.c"""
+)
+def coarse_taper(spark, d):
+    return D.coarse_taper(V.grid_o(spark, d), F.expr(_SEA), 10.0, 2.0, 2).select("r", "c", rounded("taper").alias("taper"))
+
+
 @query(
     with_(B)
     + f""", d as (select a.r, a.c, any_value(a.z) z, sqrt({_FAR}) d from cells a, (select * from cells where river and v > 150) b group by a.r, a.c), t as (select r, c, greatest(0, least(1, 1 - d / greatest(6.0::double * case when z = 1 then 0.5 else 1 end, 0.001))) t from d)
