@@ -103,8 +103,7 @@ def mix(docs: DataFrame, budget: int | None = None, entropy_share: float = 0.9,
     last = cut(keyed(rows.where("rest > 0").withColumn("pass", F.col("passes"))).select(*out, "rest"))
     blocks = _upto(last.groupBy("source", "rest", "block_key").agg(F.sum("n_tokens").alias("n")), ["source"], "block_key").where("before <= rest").select("source", "block_key", "upto", "before")
     blocks = cut(blocks)
-    copies = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    reached = last.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SALTS)).cast("int")).join(copies, ["source", "block_key", "salt"])
+    reached = last.join(blocks, ["source", "block_key"])  # a source's documents are spread over its blocks
     in_full = reached.where("upto <= rest")
     split = cut(reached.where("upto > rest").select(*out, (F.col("rest") - F.col("before")).alias("rest"), F.expr("substring(doc_key, 4, 3)").alias("sub")))
     subs = _upto(split.groupBy("source", "block_key", "rest", "sub").agg(F.sum("n_tokens").alias("n")), ["source", "block_key"], "sub").where("before <= rest").select("source", "block_key", "sub", "upto", "before")
