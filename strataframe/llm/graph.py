@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, discard, is_empty, union_all
@@ -12,6 +12,8 @@ from .shared import cut, discard, is_empty, union_all
 
 #: Pairs for each row of the buckets up to which what the stars left is compared in full.
 FULL = 4
+#: Pairs beyond which the full comparison begins with one pair of each two groups.
+MANY = 50_000
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -67,15 +69,13 @@ def linked_groups(
     necessary condition, for the full comparison only.
     """
     may_link = may_link or (lambda x, y: F.lit(True))
-    dealt = buckets.repartition("key")
-    live = cut(dealt.join(dealt.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("key"), "key", "left_semi").distinct())
+    live = cut(_of_several(buckets, "id"))
     tested: list[DataFrame] = []
     groups = None
     for k in range(stars + 1):
         rows = live.withColumn("comp", F.col("id"))
         if groups is not None:
-            kept = live.join(groups, "id", "left").withColumn("comp", F.coalesce("comp", "id")).repartition("key")
-            kept = cut(kept.join(kept.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key"), "key", "left_semi"))
+            kept = cut(_of_several(live.join(groups, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "comp"))
             discard(live)
             rows = kept
             live = kept.select("key", "id", "sig")
@@ -100,21 +100,39 @@ def linked_groups(
             lead = rows.groupBy("key").agg(F.min_by(F.struct("id", "sig", "comp"), F.xxhash64(F.col("id"), F.lit(k))).alias("l"))
             right = lead.select("key", F.col("l.id").alias("b"), F.col("l.sig").alias("sb"), F.col("l.comp").alias("cb"))
             pairs = left.join(right, "key").where((F.col("ca") != F.col("cb")) & may_link(F.col("sa"), F.col("sb")))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        swap = F.col("a") > F.col("b")
+        pairs = pairs.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("ca", "cb"), ("cb", "ca")))).distinct()
         if tested:
-            pairs = pairs.join(union_all(tested), ["a", "b"], "left_anti")
+            pairs = pairs.join(union_all(t.select("a", "b") for t in tested), ["a", "b"], "left_anti")
         pairs = cut(pairs)
         tested.append(pairs)
-        new = cut(verify(pairs))
-        if not is_empty(new):
-            groups = _merged(groups, new)
-        discard(new)
+        if last and pairs.count() > MANY:  # one pair of each two groups first: most others are then of one group
+            one = pairs.groupBy(F.least("ca", "cb").alias("l"), F.greatest("ca", "cb").alias("g")).agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b")).alias("p")).select("p.a", "p.b")
+            groups = _linked(groups, verify(cut(one)))
+            if groups is not None:
+                of = lambda end: groups.select(F.col("id").alias(end), F.col("comp").alias("n" + end))
+                apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("na", "a") != F.coalesce("nb", "b"))
+                pairs = cut(apart.select("a", "b"))
+        groups = _linked(groups, verify(pairs.select("a", "b")))
         if last:
             break
     discard(live, *tested)
     return groups
 
 
+def _of_several(buckets: DataFrame, what: str) -> DataFrame:
+    """Rows of the keys that have two different values or more."""
+    w = Window.partitionBy("key")
+    return buckets.withColumns({"__x": F.min(what).over(w), "__y": F.max(what).over(w)}).where("__x < __y").drop("__x", "__y")
+
+
+def _linked(groups: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    links = cut(links)
+    out = groups if is_empty(links) else _merged(groups, links)
+    discard(links)
+    return out
+
+
 def _merged(groups: DataFrame | None, links: DataFrame) -> DataFrame:
     """groups after links between them."""
     if groups is None:
