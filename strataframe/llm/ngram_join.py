@@ -79,9 +79,9 @@ def _tokens_of(sets: Callable[[list[bytes]], list[np.ndarray]], places: int) ->
             rows, ids = H.texts(batch["text"]), batch["doc_id"].to_pylist()
             for a, b in H.slices(rows):
                 docs: dict[str, list] = {k: [] for k in ("p", "doc_id", "n", "fp")}
-                for doc_id, tokens in zip(ids[a:b], sets(rows[a:b]), strict=True):
+                for i, (doc_id, tokens) in enumerate(zip(ids[a:b], sets(rows[a:b]), strict=True)):
                     fp = int((H.mix(np.array([H.mix(tokens).sum() + H.U(len(tokens))], H.U))).view(np.int64)[0]) if len(tokens) else 0
-                    for k, v in (("p", fp % places), ("doc_id", doc_id), ("n", len(tokens)), ("fp", fp)):
+                    for k, v in (("p", (fp + i) % places), ("doc_id", doc_id), ("n", len(tokens)), ("fp", fp)):
                         docs[k].append(v)
                     if len(tokens) and fp not in seen:
                         seen.add(fp)

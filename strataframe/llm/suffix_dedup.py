@@ -292,8 +292,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     anchors = cut(named.mapInArrow(_find_anchors(length, gram), "th binary, p long, o1 int, o2 int, ah long, r0 long"))
     kind = F.xxhash64("r0", "o1", "o2")
     known = anchors.groupBy("ah").agg(F.count("*").alias("n"), F.min(kind).alias("x"), F.max(kind).alias("y")).where("n > 1")
-    found = cut(anchors.join(known.select("ah", F.expr("x < y").alias("several")), "ah"))
-    discard(anchors)
+    known = cut(known.select("ah", F.expr("x < y").alias("several")))  # written, so that a hot hash's anchors can be split in the join
+    found = cut(anchors.join(known, "ah"))
+    discard(anchors, known)
     whole = found.where("not several").select("th", (F.col("p") - F.col("o2")).alias("begin"), (F.col("p") - F.col("o1") + length).alias("end"))
 
     classes = found.where("several").groupBy(*_CLASS).agg(F.count("*").alias("c"), F.min(F.struct("th", "p")).alias("at"))
