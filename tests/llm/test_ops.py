@@ -265,6 +265,37 @@ def test_lines_against_all_pairs(spark):
     assert kept == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in want) for d, t, *_ in rows}
 
 
+def all_near_pairs(names):
+    """Pairs of lines that reach the edit similarity, by comparing all with all; no SimHash."""
+    out = []
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            most = int((1 - line_dedup.SIMILARITY) * max(len(a), len(b)) + 1e-9)
+            apart = max((Counter(a) - Counter(b)).total(), (Counter(b) - Counter(a)).total())  # never more than the edits
+            if apart <= most and edit(a, b) <= most:
+                out.append((a, b))
+    return out
+
+
+def test_near_lines_are_found_without_simhash(spark):
+    rng = np.random.RandomState(8)
+    vocab = ["".join(rng.choice(list("abcdefghijklmnop"), rng.randint(2, 9))) for _ in range(500)]
+    rows = []
+    for n in (6, 8, 10, 14, 20, 30):
+        for _ in range(6):
+            w = list(rng.choice(vocab, n))
+            v = list(w)
+            at = rng.randint(n)
+            v[at] = v[at][:-1] + "z" if len(v[at]) > 2 else "zz"
+            rows += [(len(rows), " ".join(w), "en", "a", 1), (len(rows) + 1, " ".join(v), "en", "a", 1)]
+    pairs = all_near_pairs([r[1] for r in rows])
+    assert len(pairs) >= 36
+    gone = {r["doc"] for r in line_dedup.dropped_lines(spark.createDataFrame(rows, DOC)).collect()}
+    ids = {t: d for d, t, *_ in rows}
+    missed = [p for p in pairs if not {ids[p[0]], ids[p[1]]} & gone]
+    assert not missed
+
+
 def test_simhash_by_hand(spark):
     lines = ["alpha beta gamma delta epsilon alpha", "the of and to in", "omega " * 20_001]
     got = {r["id"]: r["sig"] for r in line_dedup.simhashes(spark.createDataFrame([(i, 0, 0, x.strip()) for i, x in enumerate(lines)], "id long, doc long, line int, norm string")).collect()}
