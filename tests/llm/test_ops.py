@@ -296,6 +296,13 @@ def test_near_lines_are_found_without_simhash(spark):
     assert not missed
 
 
+def test_similarity_of_near_lines(spark):
+    pairs = [("we saw that it was an old red barn near us", "we saw that it is an old rod bank near us"), ("a cat sat on the mat by the door", "a cat sat in the hat by the door")]  # 0.88, 0.94
+    rows = [(2 * i + k, x, "en", "a", 1) for i, p in enumerate(pairs) for k, x in enumerate(p)]
+    rows += [(9, "some quite different line of words", "en", "a", 1), (10, "some quite other lines of words", "en", "a", 1)]  # 0.71
+    assert {r["doc"] for r in line_dedup.dropped_lines(spark.createDataFrame(rows, DOC)).collect()} == {1, 3}
+
+
 def test_simhash_by_hand(spark):
     lines = ["alpha beta gamma delta epsilon alpha", "the of and to in", "omega " * 20_001]
     got = {r["id"]: r["sig"] for r in line_dedup.simhashes(spark.createDataFrame([(i, 0, 0, x.strip()) for i, x in enumerate(lines)], "id long, doc long, line int, norm string")).collect()}
