@@ -303,6 +303,13 @@ def test_similarity_of_near_lines(spark):
     assert {r["doc"] for r in line_dedup.dropped_lines(spark.createDataFrame(rows, DOC)).collect()} == {1, 3}
 
 
+def test_equal_lines_of_any_length(spark):
+    text = "Next.\n* * *\n12 13\n\n日本語の文\n 12 13\nnext\n12 14\nTwo words"
+    rows = [(1, text, "en", "a", 1), (2, "Two words!\n\n***\n12 13\nother", "en", "a", 1)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {1: "Next.\n* * *\n12 13\n\n日本語の文\n12 14\nTwo words", 2: "\n***\nother"}
+
+
 def test_simhash_by_hand(spark):
     lines = ["alpha beta gamma delta epsilon alpha", "the of and to in", "omega " * 20_001]
     got = {r["id"]: r["sig"] for r in line_dedup.simhashes(spark.createDataFrame([(i, 0, 0, x.strip()) for i, x in enumerate(lines)], "id long, doc long, line int, norm string")).collect()}
