@@ -45,19 +45,29 @@ _DIGIT_WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
 #: A run of seven spelled or written digits at least, of which one is spelled.
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:plus[\x20-]+)?(?:{_DIGIT_WORD})(?!\w)|\+?[0-9])(?:(?:[\x20,.()-]|dot|point){{1,4}}(?:(?:{_DIGIT_WORD})(?!\w)|[0-9])|(?<=[0-9])[0-9]){{6,}}(?!\w)", re.I)
 _SPELLED_TOKEN = re.compile(rf"(?<!\w)(?:{_DIGIT_WORD}|plus|dot|point)(?!\w)", re.I)
+_SOME_DIGITS = rf"(?:(?:{_DIGIT_WORD})(?!\w)|[0-9]{{1,3}}(?!\w))"
+_NUMBER = rf"{_SOME_DIGITS}(?:[\x20-]{{1,2}}{_SOME_DIGITS}){{0,2}}"
+_JOINT = r"(?:[\x20-]{1,2}(?:dot|point)[\x20-]{1,2}|\x20?\.\x20?)"
+#: Four numbers joined by dots, of which something is spelled; no part of a longer chain.
+_SPELLED_IP = re.compile(rf"(?<!\w)(?<!dot\x20)(?<!point\x20)(?<!\.){_NUMBER}(?:{_JOINT}{_NUMBER}){{3}}(?!{_JOINT}{_SOME_DIGITS}|[\x20-]{{1,2}}{_SOME_DIGITS}|\w)", re.I)
+_IP_TOKEN = re.compile(rf"(?:{_DIGIT_WORD}|dot|point)(?!\w)|[0-9]+|\.", re.I)
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _AT = rf"(?:\s*{_OPEN}\s*(?:at|@|arroba|arobase)\s*{_CLOSE}\s*|\s+at\s+|\s+@\s*|@\s+)"
 _DOT = rf"(?:\s*{_OPEN}\s*(?:dot|\.|punkt|punto|point)\s*{_CLOSE}\s*|\s+(?:dot|punkt|punto)\s+)"
 _PART = r"[A-Za-z0-9_%+-]+"
 #: A disguised address: a disguised at with at least one dot, or a plain at with a disguised dot.
 _DISGUISED = re.compile(rf"{_PART}(?:(?:\.|{_DOT}){_PART})*(?:{_AT}|@)[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+", re.I)
-#: With a bare "at" and no disguised dot, the last label must be one of these.
+#: With a bare "at" and no disguised dot, the last label must be one of these, or see _plausible().
 _TOP = re.compile(r"\.(?:com|org|net|edu|gov|info|io|eu|uk|de|fr|es)$", re.I)
+_LABELS = re.compile(r"(?:[a-z0-9-]*[a-z][a-z0-9-]*\.)+[a-z]{2,24}\Z")
+#: Prose: words before "at", and what follows a full stop without a blank, or names a file.
+_PROSE_BEFORE = frozenset("a am an and are arrive arrived as available be been but came come eat found get go he held her him in is it laugh laughed live lives look looked looking looks me meet met not now of on or out she shot sit smile smiled so stand stay stayed stop stopped that the them there they this time to up us was we went were when who work worked works you".split())
+_PROSE_LAST = frozenset("after all also although and another are because but can did each every for from had has have her here his how however its just many most not now one our she some such that the their then there these they this those was were what when where which while who why will with you your js ts html htm txt pdf jpg jpeg png gif csv json xml exe dll log php java cpp css doc docx xls xlsx yaml yml".split())
 _BARE_AT = re.compile(r"\s+at\s+", re.I)
 _SIGN = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
 _DISGUISED_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:{_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
-_MAYBE_SIGN = re.compile(rf"{_OPEN}\s*(?:at|@|arroba|arobase|dot|\.|punkt|punto|point)\s*{_CLOSE}|\s(?:dot|punkt|punto)\s|\s@|@\s|\sat\s+[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:com|org|net|edu|gov|info|io|eu|uk|de|fr|es)\b", re.I)
-_MAYBE_SPELLED = re.compile(rf"(?<!\w)(?:{_DIGIT_WORD})[\x20,.()-]{{1,4}}(?:(?:{_DIGIT_WORD})(?!\w)|[0-9])", re.I)
+_MAYBE_SIGN = re.compile(rf"{_OPEN}\s*(?:at|@|arroba|arobase|dot|\.|punkt|punto|point)\s*{_CLOSE}|\s(?:dot|punkt|punto)\s|\s@|@\s|\sat\s+[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2}}", re.I)
+_MAYBE_SPELLED = re.compile(rf"(?<!\w)(?:{_DIGIT_WORD})(?:[\x20,.()-]|dot|point){{1,4}}(?:(?:{_DIGIT_WORD})(?!\w)|[0-9])|[0-9][\x20-]{{0,2}}(?:\.|dot|point)[\x20-]{{0,2}}(?:{_DIGIT_WORD})(?!\w)", re.I)
 _DIGIT = re.compile(r"[0-9]")
 
 Span = tuple[int, int]
@@ -144,10 +154,29 @@ def fold_homoglyphs(x: Mapped) -> Mapped:
     return x.rewritten(edits) if edits else x
 
 
+def _spelled_ips(text: str) -> Iterator[tuple[int, int, str]]:
+    """Ranges of ips with spelled digits, and the ips."""
+    for run in _SPELLED_IP.finditer(text):
+        tokens = [m[0].lower() for m in _IP_TOKEN.finditer(run[0])]
+        ip = "".join("." if x in ("dot", "point", ".") else DIGITS.get(x, x) for x in tokens)
+        if any(x in DIGITS for x in tokens) and _valid("ip", ip):
+            yield *run.span(), ip
+
+
+def _plausible(found: str, at: str) -> bool:
+    """Whether an address with a bare "at" is one: its domain is all in one case, and neither side reads as prose."""
+    local, domain = found.split(at, 1)
+    domain = domain.lower() if domain.isupper() else domain
+    return local.lower() not in _PROSE_BEFORE and bool(_LABELS.match(domain)) and domain.rsplit(".", 1)[1] not in _PROSE_LAST
+
+
 def read_digits(x: Mapped) -> Mapped:
-    """Digits spelled in runs of seven or more, as digits; "plus" and "dot" in a run as signs."""
-    edits = []
+    """Digits spelled in runs of seven or more, or as an ip, as digits; "plus" and "dot" in a run as signs."""
+    edits = list(_spelled_ips(x.text))
+    ips = [e[:2] for e in edits]
     for run in _SPELLED.finditer(x.text):
+        if any(a < run.end() and run.start() < b for a, b in ips):
+            continue
         before = None
         for m in _SPELLED_TOKEN.finditer(x.text, *run.span()):
             new = {"plus": "+", "dot": ".", "point": "."}.get(m[0].lower()) or DIGITS[m[0].lower()]
@@ -155,7 +184,7 @@ def read_digits(x: Mapped) -> Mapped:
                 edits[-1] = (edits[-1][0], m.start(), edits[-1][2])  # the gap goes with the digit before it
             edits.append((m.start(), m.end(), new))
             before = m.end()
-    return x.rewritten(edits) if edits else x
+    return x.rewritten(sorted(edits)) if edits else x
 
 
 def read_signs(x: Mapped) -> Mapped:
@@ -164,7 +193,7 @@ def read_signs(x: Mapped) -> Mapped:
     for pattern in (_DISGUISED, _DISGUISED_IP):
         for run in pattern.finditer(x.text):
             signs = list(_SIGN.finditer(x.text, *run.span()))
-            if pattern is _DISGUISED and len(signs) == 1 and _BARE_AT.fullmatch(signs[0][0]) and not _TOP.search(run[0]):
+            if pattern is _DISGUISED and len(signs) == 1 and _BARE_AT.fullmatch(signs[0][0]) and not _TOP.search(run[0]) and not _plausible(run[0], signs[0][0]):
                 continue
             for m in signs:
                 edits.append((m.start(), m.end(), "@" if m["at"] else "."))

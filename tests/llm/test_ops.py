@@ -555,6 +555,26 @@ def test_pii_leaves_plain_text():
         assert not any(pii.find_pii(text)[1].values()), text
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("eight dot eight dot eight dot eight", "ip:0:35"),
+        ("ping one zero dot zero dot zero dot one.", "ip:5:39"),
+        ("to 10 dot zero dot zero dot 1 now", "ip:3:29"),
+        ("one dot two dot three", ""),
+        ("one dot two dot three dot four dot five", ""),
+        ("nine nine nine dot one dot one dot one", ""),
+        ("user at example.nl", "email:0:18"),
+        ("write to ann.lee at mail.example.it today", "email:9:35"),
+        ("bob at firm.co, eve at firm.ch", "email:0:14,email:16:30"),
+        ("we stayed at home.Then it rained", ""),
+        ("an error at index.js", ""),
+    ],
+)
+def test_short_spelled_ips_and_other_domains(text, want):
+    assert pii.listed(pii.find_pii(text)[1]) == want
+
+
 def test_pii_table(docs, awkward, empty):
     rows = {r["doc_id"]: r for r in pii.personal_data(docs).collect()}
     for r in docs.collect():
