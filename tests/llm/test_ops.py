@@ -84,6 +84,22 @@ def test_html_layout():
     assert [html_text.extract(x) for x in (None, "", "   ", "<p>", "<", "a < b", "</p></div>")] == ["", "", "", "", "<", "a < b", ""]
 
 
+@pytest.mark.parametrize(
+    ("css", "seen"),
+    [
+        ("@media print{.main,nav{display:none}}", "M N"),
+        ("@media (max-width:600px){nav{display:none}} @supports (display:grid){@media print{.main{display:none}}}", "M N"),
+        ("@media screen{nav{display:none}}", "M"),
+        ("@media print, screen{@layer a{nav{visibility:hidden}}}", "M"),
+        ("nav{display:none} nav{display:block}", "M N"),
+        ("nav{display:block} .main{display:none!important} .main{display:block}", "N"),
+        ("@import 'x.css'; nav{display:none;} @keyframes k{from{display:none}}", "M"),
+    ],
+)
+def test_html_sheets(css, seen):
+    assert html_text.extract(f"<style>{css}</style><span class=main>M</span> <nav>N</nav>").split() == seen.split()
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a"), (2, None, None), (None, "u", "x")], "page_id long, url string, html string").withColumn("text", F.lit("old"))
     got = html_text.extract_text(pages)
