@@ -100,6 +100,13 @@ def test_html_sheets(css, seen):
     assert html_text.extract(f"<style>{css}</style><span class=main>M</span> <nav>N</nav>").split() == seen.split()
 
 
+def test_html_formulas_labels_and_values():
+    assert html_text.extract("a <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></semantics></math> b") == "a x=2 b"
+    assert html_text.extract('<svg><title>t</title><defs><text>d</text></defs><path d="M0"/> z <text>Up <tspan>per</tspan></text><text>Low</text></svg>c') == "Up per Low c"
+    shown = "".join(f'<input type={t} value="{t}1">' for t in "email tel url number date hidden password checkbox".split())
+    assert html_text.extract(shown) == "email1 tel1 url1 number1 date1"
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a"), (2, None, None), (None, "u", "x")], "page_id long, url string, html string").withColumn("text", F.lit("old"))
     got = html_text.extract_text(pages)
