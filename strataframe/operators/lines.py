@@ -161,14 +161,11 @@ def thinned(image: np.ndarray, passes: int) -> np.ndarray:
     return a
 
 
-def skeleton(cells: DataFrame, mask: Column, passes: int = 64, per_shuffle: int = 16, size: int = SIZE) -> DataFrame:
-    """(r, c) of the mask's centre lines, one cell wide. Each pass looks two cells far; blocks have that margin for each pass taken at once."""
+def skeleton(cells: DataFrame, mask: Column, per_shuffle: int = 16, size: int = SIZE) -> DataFrame:
+    """(r, c) of the mask's centre lines, one cell wide: thinned until a pass changes nothing. Each pass looks two cells far; blocks have that margin for each pass taken at once."""
     out = cells.select("r", "c", F.coalesce(mask, F.lit(False)).cast("double").alias("m"))
-    done = 0
-    while done < passes:
-        k = min(per_shuffle, passes - done)
-        after = over_blocks(out, ["m"], "n", lambda a, r0, c0, k=k: thinned(np.nan_to_num(a) > 0, k).astype(float), 2 * k, size)
-        done += k
+    while True:
+        after = over_blocks(out, ["m"], "n", lambda a, r0, c0: thinned(np.nan_to_num(a) > 0, per_shuffle).astype(float), 2 * per_shuffle, size)
         after = cut(after)
         same = after.agg(F.sum("n")).first()[0] == out.agg(F.sum("m")).first()[0]
         out = after.withColumnRenamed("n", "m")

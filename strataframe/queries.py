@@ -667,7 +667,7 @@ def _prune_sql(passes: int) -> str:
 
 @query(_prune_sql(12))
 def prune_short(spark, d):
-    return rivers.pruned(V.river(spark, d), 4000.0, 12).select("u", "v")
+    return rivers.pruned(V.river(spark, d), 4000.0).select("u", "v")
 
 
 @query(with_(R, _PLACED) + "select edge_id, round((x1 - x0) / sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)), 6) + 0.0 dx, round((y1 - y0) / sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)), 6) + 0.0 dy from placed where edge_id % 10 = 0 and (x0 <> x1 or y0 <> y1)")

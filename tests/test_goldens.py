@@ -165,6 +165,13 @@ def test_line_cells_and_skeleton(spark):
     assert thin == set(map(tuple, np.argwhere(image).tolist())) and thin
 
 
+def test_skeleton_of_a_wide_area(spark):
+    area = np.ones((150, 150))
+    cells = spark.range(150 * 150).select(F.expr("cast(id div 150 as int) r"), F.expr("cast(id % 150 as int) c"))
+    thin = {(x["r"], x["c"]) for x in lines.skeleton(cells, F.lit(True), size=256).collect()}
+    assert thin == set(map(tuple, np.argwhere(lines.thinned(area, 1000)).tolist())) and thin != set(map(tuple, np.argwhere(lines.thinned(area, 64)).tolist()))
+
+
 def test_midpoint_is_repeatable():
     a = lines.midpoint_line(np.array([[0.0, 0.0], [10.0, 0.0]]), 1.0, 0.5, 4.0, 7)
     b = lines.midpoint_line(np.array([[0.0, 0.0], [10.0, 0.0]]), 1.0, 0.5, 4.0, 7)
