@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, discard, is_empty, union_all
@@ -12,6 +12,8 @@ from .shared import cut, discard, is_empty, union_all
 
 #: Pairs for each row of the buckets up to which what the stars left is compared in full.
 FULL = 4
+#: Rounds after which buckets of FEW rows at most are compared in full; larger ones go on while rounds help, up to MOST.
+STARS, FEW, MOST = 3, 64, 12
 #: Pairs beyond which the full comparison begins with one pair of each two groups.
 MANY = 50_000
 
@@ -55,9 +57,10 @@ def linked_groups(
     buckets: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     may_link: Callable[[Column, Column], Column] | None = None,
-    stars: int = 3,
     sketches: DataFrame | None = None,
     near: Callable[[Column, Column], Column] | None = None,
+    split: Callable[[DataFrame], DataFrame] | None = None,
+    exact: bool = True,
 ) -> DataFrame | None:
     """Groups connected by verified links among ids that share a bucket; None if there is no link.
 
@@ -65,65 +68,95 @@ def linked_groups(
     necessary condition on two sigs. A bucket of g ids is not expanded into its pairs: in each round
     every id is compared with one leader of each of its buckets, and only buckets whose ids are still in
     different groups go on. What is left at the end is compared in full, so that no link between
-    groups is missed; ids of one group need no further comparison. sketches (id, sketch) and near: another
-    necessary condition, for the full comparison only.
+    groups is missed; ids of one group need no further comparison. Where exact is false, buckets in which
+    more than FEW ids are still apart have had MOST leaders, or as many as helped, and are left at that.
+    sketches (id, sketch) and near: another necessary condition, for the full comparison only. split: gives
+    the rows of that comparison finer keys.
     """
     may_link = may_link or (lambda x, y: F.lit(True))
-    live = cut(_of_several(buckets, "id"))
+    given = cut(buckets)
+    live = cut(_of_several(given, "id"))
+    discard(given)
     tested: list[DataFrame] = []
-    groups = None
-    for k in range(stars + 1):
-        rows = live.withColumn("comp", F.col("id"))
-        if groups is not None:
-            kept = cut(_of_several(live.join(groups, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "comp"))
-            discard(live)
-            rows = kept
-            live = kept.select("key", "id", "sig")
-            live._cut_path = kept._cut_path
-        last = k == stars
-        if not last and k:
-            by_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("g"))
-            size = by_comp.groupBy("key").agg(F.sum("g").alias("n"), F.sum(F.col("g").cast("double") * F.col("g")).alias("own"))
-            got = size.agg(F.sum("n"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2)).first()
-            if got[0] is None:
-                break
-            last = got[1] <= FULL * got[0]
-        left = rows.select("key", F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("comp").alias("ca"))
-        if last:
-            if sketches is not None:
-                rows = rows.join(sketches, "id")
-                left = rows.select("key", F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("comp").alias("ca"), F.col("sketch").alias("ka"))
-            right = rows.select("key", F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("comp").alias("cb"), *([F.col("sketch").alias("kb")] if sketches is not None else []))
-            close = near(F.col("ka"), F.col("kb")) if sketches is not None else F.lit(True)
-            pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link(F.col("sa"), F.col("sb")) & close)
-        else:
-            lead = rows.groupBy("key").agg(F.min_by(F.struct("id", "sig", "comp"), F.xxhash64(F.col("id"), F.lit(k))).alias("l"))
-            right = lead.select("key", F.col("l.id").alias("b"), F.col("l.sig").alias("sb"), F.col("l.comp").alias("cb"))
-            pairs = left.join(right, "key").where((F.col("ca") != F.col("cb")) & may_link(F.col("sa"), F.col("sb")))
+    groups: DataFrame | None = None
+    apart = float("inf")
+
+    def compared(pairs: DataFrame, among_many: bool) -> None:
+        nonlocal groups
         swap = F.col("a") > F.col("b")
         pairs = pairs.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("ca", "cb"), ("cb", "ca")))).distinct()
         if tested:
             pairs = pairs.join(union_all(t.select("a", "b") for t in tested), ["a", "b"], "left_anti")
         pairs = cut(pairs)
         tested.append(pairs)
-        if last and pairs.count() > MANY:  # one pair of each two groups first: most others are then of one group
-            one = pairs.groupBy(F.least("ca", "cb").alias("l"), F.greatest("ca", "cb").alias("g")).agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b")).alias("p")).select("p.a", "p.b")
-            groups = _linked(groups, verify(cut(one)))
+        if among_many and pairs.count() > MANY:  # one pair of each two groups first: most others are then of one group
+            one = cut(pairs.groupBy(F.least("ca", "cb").alias("l"), F.greatest("ca", "cb").alias("g")).agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b")).alias("p")).select("p.a", "p.b"))
+            groups = _linked(groups, verify(one))
+            discard(one)
             if groups is not None:
                 of = lambda end: groups.select(F.col("id").alias(end), F.col("comp").alias("n" + end))
-                apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("na", "a") != F.coalesce("nb", "b"))
-                pairs = cut(apart.select("a", "b"))
+                pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("na", "a") != F.coalesce("nb", "b"))
+                pairs = cut(pairs.select("a", "b"))
+                tested.append(pairs)
         groups = _linked(groups, verify(pairs.select("a", "b")))
-        if last:
-            break
+
+    def star(rows: DataFrame, k: int) -> None:
+        left = rows.select("key", F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("comp").alias("ca"))
+        lead = rows.groupBy("key").agg(F.min_by(F.struct("id", "sig", "comp"), F.xxhash64(F.col("id"), F.lit(k))).alias("l"))
+        right = lead.select("key", F.col("l.id").alias("b"), F.col("l.sig").alias("sb"), F.col("l.comp").alias("cb"))
+        compared(left.join(right, "key").where((F.col("ca") != F.col("cb")) & may_link(F.col("sa"), F.col("sb"))), False)
+
+    def full(rows: DataFrame) -> None:
+        rows = rows if split is None else split(rows)
+        rows = rows if sketches is None else rows.join(sketches, "id")
+        short = {"sig": "s", "comp": "c", "sketch": "k"}
+        left, right = (rows.select("key", F.col("id").alias(x), *(F.col(c).alias(short[c] + x) for c in rows.columns if c in short)) for x in "ab")
+        close = near(F.col("ka"), F.col("kb")) if sketches is not None else F.lit(True)
+        compared(left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link(F.col("sa"), F.col("sb")) & close), True)
+
+    def with_comps() -> DataFrame:
+        nonlocal live
+        if groups is None:
+            return live.withColumn("comp", F.col("id"))
+        named = cut(live.join(groups, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+        kept = cut(_of_several(named, "comp"))
+        discard(live, named)
+        live = kept.select("key", "id", "sig")
+        live._cut_path = kept._cut_path
+        return kept
+
+    for k in range(MOST + 1):
+        rows = with_comps()
+        if k:
+            by_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("g"))
+            size = cut(by_comp.groupBy("key").agg(F.sum("g").alias("n"), F.sum(F.col("g").cast("double") * F.col("g")).alias("own")))
+            n, pairs = size.agg(F.sum("n"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2)).first()
+            if n is None or pairs <= FULL * n:
+                discard(size)
+                if n is not None:
+                    full(rows)
+                break
+            if k == STARS and not exact:
+                full(rows.join(size.where(F.col("n") <= FEW).select("key"), "key"))
+                large = cut(live.join(size.where(F.col("n") > FEW).select("key"), "key"))
+                discard(live)
+                live = large
+                rows = with_comps()
+            discard(size)
+            if k == MOST or k > STARS and pairs > 0.8 * apart:
+                if exact:
+                    full(rows)
+                break
+            apart = pairs if k != STARS or exact else float("inf")
+        star(rows, k)
     discard(live, *tested)
     return groups
 
 
-def _of_several(buckets: DataFrame, what: str) -> DataFrame:
-    """Rows of the keys that have two different values or more."""
-    w = Window.partitionBy("key")
-    return buckets.withColumns({"__x": F.min(what).over(w), "__y": F.max(what).over(w)}).where("__x < __y").drop("__x", "__y")
+def _of_several(rows: DataFrame, what: str) -> DataFrame:
+    """Rows (a written table) of the keys that have two different values or more."""
+    keys = rows.groupBy("key").agg(F.min(what).alias("x"), F.max(what).alias("y")).where("x < y").select("key")
+    return rows.join(cut(keys), "key")
 
 
 def _linked(groups: DataFrame | None, links: DataFrame) -> DataFrame | None:

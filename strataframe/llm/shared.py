@@ -66,6 +66,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """A column name for each of names that docs doesn't have."""
+    have = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     frames = list(frames)
     out = frames[0]

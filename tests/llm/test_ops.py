@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -228,19 +229,15 @@ def test_mixture_of_one_source_and_limits(spark):
 # ---- 5
 
 
-def by_hand_lines(rows):
-    """Lines to drop by comparing all distinct lines with each other, with the operator's own rules."""
-    norm = lambda x: " ".join(re.findall(r"[^\W\d_]+", x.lower()))
-    first, texts = {}, {}
-    for doc, text in rows:
-        for i, line in enumerate((text or "").split("\n")):
-            n = norm(line)
-            if doc is not None and len(n.split()) >= line_dedup.LEAST_WORDS:
-                texts.setdefault(n, []).append((doc, i))
-    return texts, first
+def line_words(line):
+    return re.findall(r"[^\W_]+", line.lower())
 
 
 def edit(a, b):
+    """Edits between two texts, or two lists of words. DuckDB counts bytes: each kind of item is one here."""
+    code = {x: chr(1 + i) for i, x in enumerate(dict.fromkeys([*a, *b]))}
+    if len(code) < 127:
+        return duckdb.execute("select levenshtein(?, ?)", ["".join(code[c] for c in x) for x in (a, b)]).fetchone()[0]
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
         last, row[0] = row[0], i + 1
@@ -249,98 +246,124 @@ def edit(a, b):
     return row[-1]
 
 
-def test_lines_against_all_pairs(spark):
-    rng = np.random.RandomState(5)
-    vocab = ["".join(rng.choice(list("abcdefghij"), rng.randint(3, 9))) for _ in range(400)]
-    lines = [" ".join(rng.choice(vocab, 40)) for _ in range(30)]
-    rows = []
-    for d in range(40):
-        text = []
-        for k in rng.choice(30, 5, replace=False):
-            w = lines[k].split()
-            if rng.rand() < 0.5:
-                w[rng.randint(40)] = rng.choice(vocab)
-            text.append(" ".join(w).capitalize() + rng.choice(["", ".", " 12"]))
-        rows.append((d, "\n".join([*text, "short one"]), "en", "a", 1))
-    table = spark.createDataFrame(rows, DOC)
-    texts, _ = by_hand_lines([(r[0], r[1]) for r in rows])
-    sig = {r["norm"]: r["sig"] & (2**64 - 1) for r in line_dedup.simhashes(spark.createDataFrame([(i, 0, 0, n) for i, n in enumerate(texts)], "id long, doc long, line int, norm string")).join(spark.createDataFrame(list(enumerate(texts)), "id long, norm string"), "id").collect()}
-    names, root = sorted(texts), {}
+def near(a, b):
+    """Whether two lines (lists of words) are near-equal by the operator's definition; no SimHash, no blocks."""
+    most = lambda x, y: int((1 - line_dedup.SIMILARITY) * max(len(x), len(y)) + 1e-9)
+    if re.findall(r"\d+", " ".join(a)) != re.findall(r"\d+", " ".join(b)):
+        return False
+    apart = lambda x, y: max((Counter(x) - Counter(y)).total(), (Counter(y) - Counter(x)).total())  # noqa: E731  never more than the edits
+    if apart(a, b) <= most(a, b) and edit(a, b) <= most(a, b):
+        return True
+    if max(len(a), len(b)) >= line_dedup.SHORT + 3:
+        return False
+    x, y = " ".join(a), " ".join(b)
+    return apart(x, y) <= most(x, y) and edit(x, y) <= most(x, y)
+
+
+def by_hand_gone(rows):
+    """(id, line) of all but the first occurrence in each group of near-equal lines, by comparing all with all."""
+    places = {}
+    for doc, text in rows:
+        for i, line in enumerate((text or "").split("\n")):
+            if line.strip():
+                places.setdefault(tuple(line_words(line)) or (line.strip(),), []).append((doc, i))
+    names = sorted(places, key=lambda n: (sum(map(len, n)), n))
+    root = {n: n for n in names}
 
     def find(x):
-        while root.setdefault(x, x) != x:
+        while root[x] != x:
             x = root[x]
         return x
 
-    linked = 0
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
-            if bin(sig[a] ^ sig[b]).count("1") <= line_dedup.DISTANCE and edit(a, b) <= int((1 - line_dedup.SIMILARITY) * max(len(a), len(b)) + 1e-9):
+            if 0.6 * sum(map(len, b)) > sum(map(len, a)):
+                break
+            if find(a) != find(b) and near(a, b):
                 root[find(a)] = find(b)
-                linked += 1
-    assert linked > 10
     groups = {}
     for n in names:
-        groups.setdefault(find(n), []).extend(texts[n])
-    want = {at for g in groups.values() for at in g if at != min(g)}
-    assert {(r["doc"], r["line"]) for r in line_dedup.dropped_lines(table).collect()} == want
-    kept = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(table).collect()}
-    assert kept == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in want) for d, t, *_ in rows}
+        groups.setdefault(find(n), []).extend(places[n])
+    return {at for g in groups.values() for at in g if at != min(g)}
 
 
-def all_near_pairs(names):
-    """Pairs of lines that reach the edit similarity, by comparing all with all; no SimHash."""
-    out = []
-    for i, a in enumerate(names):
-        for b in names[i + 1 :]:
-            most = int((1 - line_dedup.SIMILARITY) * max(len(a), len(b)) + 1e-9)
-            apart = max((Counter(a) - Counter(b)).total(), (Counter(b) - Counter(a)).total())  # never more than the edits
-            if apart <= most and edit(a, b) <= most:
-                out.append((a, b))
-    return out
+def test_lines_against_all_pairs(spark):
+    rng = np.random.RandomState(5)
+    vocab = ["".join(rng.choice(list("abcdefghij"), rng.randint(3, 9))) for _ in range(400)]
+    lines = [" ".join(rng.choice(vocab, n)) for n in (2, 3, 5, 7, 9, 12, 15, 16, 20, 30, 40, 60) for _ in range(4)]
+    rows = []
+    for d in range(60):
+        text = []
+        for k in rng.choice(len(lines), 5, replace=False):
+            w = lines[k].split()
+            if rng.rand() < 0.5:
+                w[rng.randint(len(w))] = rng.choice(vocab)
+            text.append(" ".join(w).capitalize() + rng.choice(["", ".", " 12"]))
+        rows.append((d, "\n".join([*text, "short one"]), "en", "a", 1))
+    table = spark.createDataFrame(rows, DOC)
+    want = by_hand_gone([r[:2] for r in rows])
+    got = {(r["doc"], r["line"]) for r in line_dedup.dropped_lines(table).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want)  # blocks may miss a pair, but nothing else goes
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(table).collect()}
+    assert kept == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in got) for d, t, *_ in rows}
 
 
-def test_near_lines_are_found_without_simhash(spark):
-    rng = np.random.RandomState(8)
-    vocab = ["".join(rng.choice(list("abcdefghijklmnop"), rng.randint(2, 9))) for _ in range(500)]
-    rows = []
-    for n in (6, 8, 10, 14, 20, 30):
-        for _ in range(6):
-            w = list(rng.choice(vocab, n))
-            v = list(w)
-            at = rng.randint(n)
-            v[at] = v[at][:-1] + "z" if len(v[at]) > 2 else "zz"
-            rows += [(len(rows), " ".join(w), "en", "a", 1), (len(rows) + 1, " ".join(v), "en", "a", 1)]
-    pairs = all_near_pairs([r[1] for r in rows])
-    assert len(pairs) >= 36
-    gone = {r["doc"] for r in line_dedup.dropped_lines(spark.createDataFrame(rows, DOC)).collect()}
-    ids = {t: d for d, t, *_ in rows}
-    missed = [p for p in pairs if not {ids[p[0]], ids[p[1]]} & gone]
-    assert not missed
+@pytest.mark.parametrize("change", ["letter", "dropped", "added", "twice"])
+def test_recall_of_one_edit(spark, change):
+    """Lines of the documents with an edit each, where that keeps a similarity of 0.9: found in 19 of 20 cases at least (two edits: 9 of 10)."""
+    rng = np.random.RandomState(11)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 3 = 0").collect()
+    lines = sorted({" ".join(line_words(x)) for r in docs for x in (r["text"] or "").split("\n") if 5 <= len(line_words(x)) <= 120})
+    made = []
+    for line in rng.permutation(lines)[:600]:
+        w = line.split()
+        for _ in range(2 if change == "twice" else 1):
+            at = rng.randint(len(w))
+            if change == "dropped":
+                del w[at]
+            elif change == "added":
+                w.insert(at, "zyx")
+            else:
+                k = rng.randint(len(w[at]))
+                w[at] = w[at][:k] + "q" + w[at][k + 1 :]
+        other = " ".join(w)
+        if other != line and edit(line, other) <= 0.1 * max(len(line), len(other)):
+            made.append((line, other))
+    rows = [(2 * i + k, x, "en", "a", 1) for i, p in enumerate(made) for k, x in enumerate(p)]
+    gone = {r["doc"] for r in line_dedup.dropped_lines(spark.createDataFrame(rows, DOC).repartition(4)).collect()}
+    found = sum(2 * i + 1 in gone for i in range(len(made)))
+    assert len(made) > 200 and found >= (0.9 if change == "twice" else 0.95) * len(made), (found, len(made))
 
 
 def test_similarity_of_near_lines(spark):
     pairs = [("we saw that it was an old red barn near us", "we saw that it is an old rod bank near us"), ("a cat sat on the mat by the door", "a cat sat in the hat by the door")]  # 0.88, 0.94
     rows = [(2 * i + k, x, "en", "a", 1) for i, p in enumerate(pairs) for k, x in enumerate(p)]
     rows += [(9, "some quite different line of words", "en", "a", 1), (10, "some quite other lines of words", "en", "a", 1)]  # 0.71
+    rows += [(11, "total revenue of the year 2019 was 23,000 dollars", "en", "a", 1), (12, "total revenue of the year 2021 was 99,415 dollars", "en", "a", 1)]
     assert {r["doc"] for r in line_dedup.dropped_lines(spark.createDataFrame(rows, DOC)).collect()} == {1, 3}
 
 
 def test_equal_lines_of_any_length(spark):
-    text = "Next.\n* * *\n12 13\n\n日本語の文\n 12 13\nnext\n12 14\nTwo words"
-    rows = [(1, text, "en", "a", 1), (2, "Two words!\n\n***\n12 13\nother", "en", "a", 1)]
+    text = "Next.\n* * *\n12 13\n\n日本語の文\n12,13\nnext\n12 14\nTwo words"
+    rows = [(1, text, "en", "a", 1), (2, "Two words!\n\n* * *\n12 13\nother", "en", "a", 1)]
     got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, DOC)).collect()}
-    assert got == {1: "Next.\n* * *\n12 13\n\n日本語の文\n12 14\nTwo words", 2: "\n***\nother"}
+    assert got == {1: "Next.\n* * *\n12 13\n\n日本語の文\n12 14\nTwo words", 2: "\nother"}
+
+
+def test_rows_that_share_an_id(spark):
+    one, other = "a line that is here and there\nits own words stand here", "quite something else to read\na line that is here and there\nunrelated words in this row"
+    rows = [(1, one, "en", "a", 1), (1, other, "en", "a", 1), (1, one, "en", "a", 1), (None, one + "\nlast", "en", "a", 1)]
+    got = Counter(r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, DOC)).collect())
+    left = [x.replace("a line that is here and there\n", "") for x in (one, other)]
+    assert got["last"] == 1 and got in (Counter({one: 2, left[1]: 1, "last": 1}), Counter({other: 1, left[0]: 2, "last": 1}))
 
 
 def test_simhash_by_hand(spark):
     lines = ["alpha beta gamma delta epsilon alpha", "the of and to in", "omega " * 20_001]
-    got = {r["id"]: r["sig"] for r in line_dedup.simhashes(spark.createDataFrame([(i, 0, 0, x.strip()) for i, x in enumerate(lines)], "id long, doc long, line int, norm string")).collect()}
-    hashes = {r["w"]: r["h"] & (2**64 - 1) for r in spark.createDataFrame([(w,) for x in lines for w in set(x.split())], "w string").selectExpr("w", "xxhash64(w) h").collect()}
+    got = {r["id"]: r["sig"] for r in line_dedup.simhashes(spark.createDataFrame([(i, "".join(chr(0x4E00 + len(w) + 50 * ord(w[0])) for w in x.split())) for i, x in enumerate(lines)], "id long, codes string")).collect()}
+    hashes = {r["w"]: r["h"] & (2**64 - 1) for r in spark.createDataFrame([(w,) for x in lines for w in set(x.split())], "w string").selectExpr("w", "xxhash64(char_of) h".replace("char_of", "decode(unhex(hex(19968 + length(w) + 50 * ascii(w))), 'UTF-16BE')")).collect()}
     for i, x in enumerate(lines):
-        some = [w for w in x.split() if len(w) >= line_dedup.FEATURE]
-        feature = some if len(some) >= 3 else x.split()
-        bits = sum(1 << b for b in range(64) if 2 * sum(hashes[w] >> b & 1 for w in feature) > len(feature))
+        bits = sum(1 << b for b in range(64) if 2 * sum(hashes[w] >> b & 1 for w in x.split()) > len(x.split()))
         assert got[i] & (2**64 - 1) == bits
 
 
@@ -352,15 +375,6 @@ def test_lines_of_awkward_tables(awkward, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
-def test_blocks_find_all_near_hashes(spark):
-    rng = np.random.RandomState(6)
-    for blocks in (4, 5, 6):
-        a = rng.randint(-(2**63), 2**63 - 1, 50, dtype=np.int64)
-        b = [int(np.array([np.uint64(int(x) & (2**64 - 1)) ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, 3, replace=False)))], np.uint64).view(np.int64)[0]) for x in a]
-        rows = spark.createDataFrame([(int(x), y) for x, y in zip(a, b)], "a long, b long")
-        assert rows.where(F.arrays_overlap(line_dedup.block_keys(F.col("a"), blocks), line_dedup.block_keys(F.col("b"), blocks))).count() == 50
-
-
 # ---- 6
 
 
