@@ -21,13 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing as H
-from .shared import cut, discard, small_batches
+from .shared import cut, discard, small_batches, unused
 
 WINDOW = 13
 SHINGLE = 5
 #: Words of the benchmark in a block: some 30 MB of broadcast index.
 BLOCK_WORDS = 1 << 18
-_HITS, _ITEMS = "__hit_ranges", "__hit_items"
 
 
 def _codes(h: np.ndarray, size: int) -> np.ndarray:
@@ -51,14 +50,19 @@ class Windows:
     def __init__(self, item_ids: list[str | None], texts: list[bytes], window: int = WINDOW, shingle: int = SHINGLE):
         self.window = window
         self.items: list[str | None] = item_ids
-        h, row, _, _ = H.words([x.translate(H.LOWER) for x in texts], H.NOT_ALNUM)
+        lower = [x.translate(H.LOWER) for x in texts]
+        h, row, begin, end = H.words(lower, H.NOT_ALNUM)
+        joined = b" ".join(lower)
+        word = [joined[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
         bounds = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
-        found: dict[bytes, set[int]] = {}
+        found: dict[bytes, tuple[np.ndarray, set[int]]] = {}
         for item, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             for i in range(a, max(a + 1, b - window + 1) if b > a else a):
-                found.setdefault(h[i : min(i + window, b)].tobytes(), set()).add(item)
-        self.rows = [np.frombuffer(x, H.U) for x in found]
-        self.of = [sorted(x) for x in found.values()]
+                end_ = min(i + window, b)
+                found.setdefault(b" ".join(word[i:end_]), (h[i:end_], set()))[1].add(item)
+        self.texts = list(found)
+        self.rows = [x for x, _ in found.values()]
+        self.of = [sorted(x) for _, x in found.values()]
         self.sizes = [min(shingle, len(x)) for x in self.rows]
         self.tables: dict[int, np.ndarray] = {}
         for size in sorted(set(self.sizes)):
@@ -100,9 +104,10 @@ class Windows:
 
     def find(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(words of each row; and of each occurrence of a window: row, first word, window)"""
-        h, row, _, _ = H.words([x.translate(H.LOWER) for x in rows], H.NOT_ALNUM)
+        lower = [x.translate(H.LOWER) for x in rows]
+        h, row, begin, end = H.words(lower, H.NOT_ALNUM)
         bounds = np.searchsorted(row, np.arange(len(rows) + 1))
-        out = []
+        joined, out = None, []
         for size, (keys, first, offsets, windows) in self.index.items():
             if len(h) < size:
                 continue
@@ -118,17 +123,22 @@ class Windows:
             for j in range(self.window):
                 inside = self.length[w] > j
                 same &= ~inside | (h[np.minimum(start + j, len(h) - 1)] == self.matrix[w, j])
-            out.append((doc[same], start[same] - bounds[doc[same]], w[same]))
+            doc, start, w = doc[same], start[same], w[same]
+            if len(w):  # hashes agree; the words themselves decide
+                joined = b" ".join(lower) if joined is None else joined
+                first, last = begin.tolist(), end.tolist()
+                same = np.array([b" ".join(joined[first[i] : last[i]] for i in range(a, a + n)) == self.texts[k] for a, n, k in zip(start.tolist(), self.length[w].tolist(), w.tolist(), strict=True)], bool)
+            out.append((doc[same], start[same] - bounds[doc[same]], w[same]) if len(w) else (doc, start, w))
         if not out:
             none = np.zeros(0, np.int64)
             return np.diff(bounds), none, none, none
         return np.diff(bounds), *(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _scan(index: Windows, batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[np.ndarray], list[set[str]], np.ndarray]]:
+def _scan(index: Windows, batch: pa.RecordBatch, carried: list[str]) -> Iterator[tuple[int, int, list[np.ndarray], list[set[str]], np.ndarray]]:
     """For slices of the batch: range of rows, merged ranges of hit words, items and words of each row."""
     rows = H.texts(batch["text"])
-    old = [batch[x].to_pylist() if x in batch.schema.names else None for x in (_HITS, _ITEMS)]
+    old = [batch[x].to_pylist() if x in batch.schema.names else None for x in carried]
     for a, b in H.slices(rows):
         n, doc, start, w = index.find(rows[a:b])
         spans: list[np.ndarray] = [np.frombuffer(x or b"", np.int64).reshape(-1, 2) for x in old[0][a:b]] if old[0] else [np.zeros((0, 2), np.int64)] * (b - a)
@@ -149,7 +159,7 @@ def _scan(index: Windows, batch: pa.RecordBatch) -> Iterator[tuple[int, int, lis
 
 def _blocks(docs: DataFrame, benchmark: DataFrame, block_words: int, window: int) -> Iterator[tuple[Windows, int, int]]:
     spark = docs.sparkSession
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
     words = items.agg(F.sum(F.size(F.split("text", " ")) + F.length("text") / 8)).first()[0] or 0
     n = max(1, -(-int(words) // block_words))
     for k in range(n):
@@ -177,20 +187,21 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, block_words: int, window: int
 
 def _run(docs: DataFrame, benchmark: DataFrame, last, schema, block_words: int, window: int) -> DataFrame:
     spark, rows, before = docs.sparkSession, docs, None
+    carried = unused(docs, "hit_ranges", "hit_items")
     small_batches(spark)
     for index, k, n in _blocks(docs, benchmark, block_words, window):
         given = spark.sparkContext.broadcast(index)
         if k == n - 1:
-            return rows.mapInArrow(lambda batches, given=given: last(given.value, batches), schema)
+            return rows.mapInArrow(lambda batches, given=given: last(given.value, batches, carried), schema)
 
         def mark(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                names = [x for x in batch.schema.names if x not in (_HITS, _ITEMS)]
-                for a, b, spans, items, _ in _scan(given.value, batch):
+                names = [x for x in batch.schema.names if x not in carried]
+                for a, b, spans, items, _ in _scan(given.value, batch, carried):
                     part = batch.select(names).slice(a, b - a)
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.tobytes() for x in spans], pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=[*names, _HITS, _ITEMS])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.tobytes() for x in spans], pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=[*names, *carried])
 
-        full = T.StructType([*docs.schema.fields, T.StructField(_HITS, T.BinaryType()), T.StructField(_ITEMS, T.ArrayType(T.StringType()))])
+        full = T.StructType([*docs.schema.fields, T.StructField(carried[0], T.BinaryType()), T.StructField(carried[1], T.ArrayType(T.StringType()))])
         after = cut(rows.mapInArrow(mark, full))
         discard(before)
         rows = before = after
@@ -206,9 +217,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
     item without an id marks words but isn't listed, rows and items may repeat, either table may be empty.
     """
 
-    def last(index: Windows, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def last(index: Windows, batches: Iterator[pa.RecordBatch], carried: list[str]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, spans, items, n in _scan(index, batch):
+            for a, b, spans, items, n in _scan(index, batch, carried):
                 hit = [int((x[:, 1] - x[:, 0]).sum()) for x in spans]
                 yield pa.record_batch([batch["doc_id"].slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "items"])
 
@@ -221,10 +232,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.
     See contamination() for words and windows. Null and empty texts stay.
     """
 
-    def last(index: Windows, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def last(index: Windows, batches: Iterator[pa.RecordBatch], carried: list[str]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [x for x in batch.schema.names if x not in (_HITS, _ITEMS)]
-            for a, b, spans, _, n in _scan(index, batch):
+            names = [x for x in batch.schema.names if x not in carried]
+            for a, b, spans, _, n in _scan(index, batch, carried):
                 hit = np.array([int((x[:, 1] - x[:, 0]).sum()) for x in spans])
                 yield batch.select(names).slice(a, b - a).filter(pa.array((hit == 0) | (hit < least_share * n - 1e-9)))
 

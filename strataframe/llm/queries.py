@@ -78,9 +78,9 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What stays of each document without the strings of 400 bytes that start elsewhere too."""
-    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """What stays of each document without the strings of 400 bytes that start elsewhere too; words in runs of over 50 that do."""
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), passage=51)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words", (F.col("n_passage_words") > 0).alias("repeats_passage"))
 
 
 @query

@@ -8,10 +8,13 @@ The suffix array is sparse. Of each window of LENGTH bytes the least of its GRAM
 anchor; equal windows have the same anchor at the same offset, so only suffixes at anchors with equal
 hashes have to be compared. Occurrences whose whole surroundings (all windows that chose the anchor) are
 equal form a class and are settled by counting; the suffix sort works on one occurrence of each class.
+Classes of a hot anchor are sorted in many groups: by ranges of window offsets, and within a range by the
+bytes that all its windows have in common, so that equal windows are in one group.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +27,15 @@ from .shared import cut, discard, parts, small_batches, union_all
 
 LENGTH = 400
 GRAM = 100
+#: Bytes that stand for a word where runs of words are looked for.
+CODE = 4
 #: Bytes of a text whose hashes are in memory at once; longer texts are cut into overlapping segments.
 SEGMENT = 8 << 20
-#: Classes of one anchor hash that a task sorts; beyond, windows are counted by their hashes instead.
-HOT = 20_000
+#: Classes of one anchor hash that are sorted together; those of more are dealt into groups by BANDS ranges of
+#: window offsets and by what all windows of a range have in common.
+HOT, BANDS = 4_000, 8
+#: Classes of such a group that are sorted together; in larger ones, which are alike but for a few bytes, whole windows are counted.
+ALIKE = 20_000
 _CLASS = ["ah", "r0", "o1", "o2"]
 
 
@@ -53,7 +61,7 @@ def _anchors(buf: np.ndarray, doc: np.ndarray, length: int, gram: int) -> tuple[
     first = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (np.diff(q) != 1) | (doc[q[1:]] != doc[q[:-1]])])
     last = np.r_[first[1:] - 1, len(q) - 1]
     p, q1, q2 = p[first], q[first], q[last]
-    return p, q1, q2, g[p], H.mix((total[q2 + length] - total[q1]) * inv[q1])
+    return p, q1, q2, g[p], H.word_hashes(buf, q1, q2 + length)
 
 
 def _segments(rows: list[bytes], length: int) -> Iterator[tuple[int, int, bytes]]:
@@ -114,6 +122,18 @@ def _contexts(length: int):
     return run
 
 
+def _prefix_hashes(rows: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of all prefixes of each row, modulo two primes that share a word."""
+    columns = np.ascontiguousarray(rows.T).astype(np.int64) + 1
+    out = np.zeros((len(columns) + 1, len(rows)), np.int64)
+    one, two = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    for k, x in enumerate(columns):
+        one = (one * 1_103_515_245 + x) % 2_147_483_647
+        two = (two * 1_402_024_253 + x) % 2_147_483_629
+        out[k + 1] = one << 31 | two
+    return out.T.view(H.U)
+
+
 class Suffixes:
     """Right-hand contexts (suffixes at the anchors) and reversed left-hand contexts of one batch of classes."""
 
@@ -125,11 +145,8 @@ class Suffixes:
         for i, (x, o) in enumerate(zip(contexts, o2.tolist(), strict=True)):
             self.matrix[i, self.reach - o : self.reach - o + len(x)] = np.frombuffer(x, np.uint8)
             self.right[i] = len(x) - o
-        pw = H.powers(H.BASE, length)
-        self.ahead = np.zeros((n, length + 1), H.U)
-        np.cumsum(H.TABLE[self.matrix[:, self.reach :]] * pw, axis=1, out=self.ahead[:, 1:])
-        self.behind = np.zeros((n, self.reach + 1), H.U)
-        np.cumsum(H.TABLE[self.matrix[:, : self.reach][:, ::-1]] * pw[: self.reach], axis=1, out=self.behind[:, 1:])
+        self.ahead = _prefix_hashes(self.matrix[:, self.reach :])
+        self.behind = _prefix_hashes(self.matrix[:, : self.reach][:, ::-1])
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Longest common prefixes of suffixes, by binary search on prefix hashes."""
@@ -225,13 +242,13 @@ def _runs(marked: np.ndarray) -> list[list[int]]:
 
 
 def _settle(length: int, gram: int):
-    """Sort the suffixes of whole anchor groups; rows come sorted by class."""
+    """Sort the suffixes of whole groups; rows come sorted by group."""
 
     def settled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        ah, o1, o2 = (rows[k].to_numpy() for k in ("ah", "o1", "o2"))
-        marked = Suffixes(ah, rows["ctx"].to_pylist(), o2, length, gram).repeated(o1, o2)
+        group, o2, lo, hi = (rows[k].to_numpy() for k in ("grp", "o2", "lo", "hi"))
+        marked = Suffixes(group, rows["ctx"].to_pylist(), o2, length, gram).repeated(lo, hi)
         col = np.arange(marked.shape[1])
-        marked |= (rows["c"].to_numpy() > 1)[:, None] & (col >= o1[:, None]) & (col <= o2[:, None])
+        marked |= (rows["c"].to_numpy() > 1)[:, None] & (col >= lo[:, None]) & (col <= hi[:, None])
         some = marked.any(axis=1)
         kept = rows.select(_CLASS).filter(pa.array(some))
         yield from kept.append_column("runs", pa.array(_runs(marked[some]), pa.list_(pa.int32()))).to_batches()
@@ -241,8 +258,8 @@ def _settle(length: int, gram: int):
         for batch in batches:
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             while len(held) >= 4096:
-                ah = held["ah"].to_numpy()
-                edges = np.flatnonzero(ah[1:] != ah[:-1]) + 1
+                group = held["grp"].to_numpy()
+                edges = np.flatnonzero(group[1:] != group[:-1]) + 1
                 inner = edges[edges <= 8192]
                 if not len(edges):
                     break
@@ -255,40 +272,68 @@ def _settle(length: int, gram: int):
     return run
 
 
-def _windows(length: int):
-    """Two hashes of every window of a class."""
+def _dealt(length: int, gram: int):
+    """A row for each class and range of offsets, grouped by the bytes that all windows of the range have in common."""
+    width = -(-(length - gram + 1) // BANDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                ctx, o1 = part["ctx"].to_pylist(), part["o1"].to_numpy()
-                row = np.repeat(np.arange(len(ctx)), [len(x) - length + 1 for x in ctx])
-                begin = np.arange(len(row)) - np.searchsorted(row, row)
-                hashes = []
-                for base in (H.BASE, H.STEP):
-                    each = []
-                    for x in ctx:
-                        n = len(x)
-                        pw, inv = H.powers(base, n), H.powers(H.inverse(int(base)), n)
-                        total = np.r_[H.U(0), np.cumsum(H.TABLE[np.frombuffer(x, np.uint8)] * pw, dtype=H.U)]
-                        each.append(H.mix((total[length:] - total[:-length]) * inv[: n - length + 1]))
-                    hashes.append(pa.array(np.concatenate(each).view(np.int64)))
-                o = (part["o2"].to_numpy()[row] - begin).astype(np.int32)
-                yield pa.record_batch([*(part[k].take(pa.array(row)) for k in _CLASS), pa.array(o), *hashes], names=[*_CLASS, "o", "w1", "w2"])
+                row, group, lows, highs = [], [], [], []
+                for i, (ah, o1, o2, ctx) in enumerate(zip(*(part[k].to_pylist() for k in ("ah", "o1", "o2", "ctx")), strict=True)):
+                    for first in range(o1 // width * width, o2 + 1, width):
+                        last = first + width - 1
+                        # from where the last of these windows begins to where the first ends; the anchor is at o2
+                        digest = hashlib.blake2b(ctx[o2 - first : o2 - last + length], digest_size=8, key=ah.to_bytes(8, "little", signed=True), salt=first.to_bytes(2, "little")).digest()
+                        row.append(i)
+                        group.append(int.from_bytes(digest, "little", signed=True))
+                        lows.append(max(o1, first))
+                        highs.append(min(o2, last))
+                yield pa.record_batch([*(part[k].take(pa.array(row, pa.int32())) for k in (*_CLASS, "c", "ctx")), pa.array(group, pa.int64()), pa.array(lows, pa.int32()), pa.array(highs, pa.int32())], names=[*_CLASS, "c", "ctx", "grp", "lo", "hi"])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(th, begin, end): bytes of texts that lie in a repeated string of so many bytes; th is the text's MD5.
+def _each_window(length: int):
+    """Every window of the ranges of offsets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                part = batch.slice(at, 64)
+                found = [(i, o, ctx[o2 - o : o2 - o + length]) for i, (o2, lo, hi, ctx) in enumerate(zip(*(part[k].to_pylist() for k in ("o2", "lo", "hi", "ctx")), strict=True)) for o in range(lo, hi + 1)]
+                row = pa.array([x[0] for x in found], pa.int32())
+                yield pa.record_batch([*(part[k].take(row) for k in (*_CLASS, "grp")), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.binary())], names=[*_CLASS, "grp", "o", "w"])
+
+    return run
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with CODE bytes of hash for each of their words."""
+    for batch in batches:
+        rows = H.texts(batch["text"])
+        for a, b in H.slices(rows):
+            h, row, _, _ = H.words(rows[a:b], H.BLANK)
+            bounds = np.searchsorted(row, np.arange(b - a + 1))
+            codes = (h >> H.U(32)).astype(np.uint32)
+            yield pa.record_batch([batch["th"].slice(a, b - a), pa.array([codes[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["th", "text"])
+
+
+def named_texts(docs: DataFrame) -> DataFrame:
+    """(th, text): th is the text's MD5."""
+    return docs.select(F.unhex(F.md5("text")).alias("th"), "text").where("text is not null")
+
+
+def repeated_spans(named: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(th, begin, end): bytes of named_texts() that lie in a repeated string of so many bytes.
 
     Spans of one text may overlap or touch. Texts without such a string have no row.
     """
-    spark = docs.sparkSession
+    spark = named.sparkSession
     small_batches(spark)
     n = parts(spark)
-    named = docs.select(F.unhex(F.md5("text")).alias("th"), "text").where(F.octet_length("text") >= length)
+    named = named.where(F.octet_length("text") >= length)
     anchors = cut(named.mapInArrow(_find_anchors(length, gram), "th binary, p long, o1 int, o2 int, ah long, r0 long"))
     kind = F.xxhash64("r0", "o1", "o2")
     known = anchors.groupBy("ah").agg(F.count("*").alias("n"), F.min(kind).alias("x"), F.max(kind).alias("y")).where("n > 1")
@@ -302,47 +347,71 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     listed = classes.join(hot, "ah").groupBy(F.col("at.th").alias("th")).agg(F.collect_list(F.struct(*_CLASS, "c", "hot", F.col("at.p").alias("p"))).alias("listed"))
     one = named.groupBy("th").agg(F.first("text").alias("text"))
     contexts = cut(one.join(listed, "th").select("text", "listed").mapInArrow(_contexts(length), "ah long, r0 long, o1 int, o2 int, c long, hot boolean, ctx binary"))
+    fields = "ah long, r0 long, o1 int, o2 int, c long, ctx binary, grp long, lo int, hi int"
+    dealt = cut(contexts.where("hot").mapInArrow(_dealt(length, gram), fields))
+    alike = cut(dealt.groupBy("grp").agg(F.count("*").alias("k")).where(F.col("k") > ALIKE).select("grp"))
+    plain = contexts.where("not hot").select(*_CLASS, "c", "ctx", F.col("ah").alias("grp"), F.col("o1").alias("lo"), F.col("o2").alias("hi"))
+    to_sort = plain.unionByName(dealt.join(alike, "grp", "left_anti").select(plain.columns))
     result = "ah long, r0 long, o1 int, o2 int, runs array<int>"
-    sorted_ = contexts.where("not hot").repartition(n, "ah").sortWithinPartitions(*_CLASS).mapInArrow(_settle(length, gram), result)
+    sorted_ = to_sort.repartition(n, "grp").sortWithinPartitions("grp", *_CLASS).mapInArrow(_settle(length, gram), result)
     runs = sorted_.select(*_CLASS, F.explode(F.expr("transform(sequence(0, size(runs) div 2 - 1), i -> struct(runs[2 * i] as a, runs[2 * i + 1] as b))")).alias("r")).select(*_CLASS, "r.a", "r.b")
-    windows = contexts.where("hot").mapInArrow(_windows(length), "ah long, r0 long, o1 int, o2 int, o int, w1 long, w2 long")
-    twice = windows.groupBy("ah", "o", "w1", "w2").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    whole_hot = contexts.where("hot and c > 1").select(*_CLASS, F.col("o1").alias("a"), F.col("o2").alias("b"))
-    by_window = windows.join(twice, ["ah", "o", "w1", "w2"]).select(*_CLASS, F.col("o").alias("a"), F.col("o").alias("b"))
-    runs = cut(union_all([runs, by_window, whole_hot]))
+    rest = dealt.join(alike, "grp", "left_semi")
+    windows = rest.select(*_CLASS, "ctx", "grp", "lo", "hi").mapInArrow(_each_window(length), "ah long, r0 long, o1 int, o2 int, grp long, o int, w binary")
+    twice = windows.groupBy("grp", "o", "w").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    by_window = windows.join(twice, ["grp", "o", "w"]).select(*_CLASS, F.col("o").alias("a"), F.col("o").alias("b"))
+    copies = rest.where("c > 1").select(*_CLASS, F.col("lo").alias("a"), F.col("hi").alias("b"))
+    runs = cut(union_all([runs, by_window, copies]))
     part = found.where("several").join(runs, _CLASS).select("th", (F.col("p") - F.col("b")).alias("begin"), (F.col("p") - F.col("a") + length).alias("end"))
     out = cut(whole.unionByName(part).distinct())
-    discard(found, contexts, runs)
+    discard(found, contexts, dealt, alike, runs)
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) for each row of docs (doc_id, text); kept: the remaining bytes.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, passage: int | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept, n_passage_words) for each row of docs (doc_id, text); kept: the remaining bytes.
 
     A byte goes if it lies in a string of so many bytes that also starts anywhere else, in any row; rows
     that repeat are different places. A null or short text is kept whole (null as no bytes). n_spans:
-    maximal removed runs. Removal may split a character; kept is binary. Other columns are ignored.
+    maximal removed runs. Removal may split a character; kept is binary. Texts may be of any length, an
+    empty table gives no rows, and other columns are ignored, whatever their names.
+
+    passage: n_passage_words counts the words that lie in a run of so many words that also starts anywhere
+    else, however few bytes it has; such a run is found by the same suffix sort over codes of words. It is
+    null without this parameter. Nothing is removed for it.
     """
-    spans = repeated_spans(docs, length, gram).groupBy("th").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    named = named_texts(docs)
+    spans = repeated_spans(named, length, gram).withColumn("coded", F.lit(False))
+    if passage:
+        codes = named.mapInArrow(_coded, "th binary, text binary")
+        spans = spans.unionByName(repeated_spans(codes, CODE * passage, CODE * passage * gram // length).withColumn("coded", F.lit(True)))
+    spans = spans.groupBy("th").agg(F.collect_list(F.struct("begin", "end", "coded")).alias("spans"))
     rows = docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("th")).join(spans, "th", "left").select("doc_id", "text", "spans")
 
+    def covered(each: list[dict]) -> int:
+        total, end = 0, 0
+        for lo, hi in sorted((s["begin"] // CODE, -(-s["end"] // CODE)) for s in each):
+            total += max(0, hi - max(lo, end))
+            end = max(end, hi)
+        return total
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, listed = H.texts(batch["text"]), batch["spans"].to_pylist()
             for a, b in H.slices(texts):
-                out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept")}
+                out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept", "n_passage_words")}
                 for x, each in zip(texts[a:b], listed[a:b], strict=True):
                     kept, at, n = [], 0, 0
                     end = -1
-                    for lo, hi in sorted((s["begin"], s["end"]) for s in each or ()):
+                    for lo, hi in sorted((s["begin"], s["end"]) for s in each or () if not s["coded"]):
                         if lo > end:
                             n += 1
                             kept.append(x[at:lo])
                         end = max(end, hi)
                         at = end
                     rest = b"".join([*kept, x[at:]])
-                    for k, v in (("n_bytes", len(x)), ("n_removed", len(x) - len(rest)), ("n_spans", n), ("kept", rest)):
+                    words = covered([s for s in each or () if s["coded"]]) if passage else None
+                    for k, v in (("n_bytes", len(x)), ("n_removed", len(x) - len(rest)), ("n_spans", n), ("kept", rest), ("n_passage_words", words)):
                         out[k].append(v)
-                yield pa.record_batch([batch["doc_id"].slice(a, b - a), *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.binary())], names=["doc_id", *out])
+                yield pa.record_batch([batch["doc_id"].slice(a, b - a), *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.binary()), pa.array(out["n_passage_words"], pa.int64())], names=["doc_id", *out])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_passage_words long")

@@ -483,20 +483,36 @@ def by_hand_repeats(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
-def test_repeats_against_all_windows(spark, docs, awkward, empty, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "alike"), [(suffix_dedup.HOT, suffix_dedup.ALIKE), (1, suffix_dedup.ALIKE), (1, 1)])
+def test_repeats_against_all_windows(spark, docs, awkward, empty, monkeypatch, hot, alike):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "ALIKE", alike)
     passage = " ".join(f"p{i}" for i in range(200))
     rows = [(i, ("é" if i % 2 else "z") * i + passage[i % 3 : 500 + 11 * (i % 7)] + f" tail {i} " * (i % 4), "en", "a", 1) for i in range(25)]
     rows += [(100, "ab" * 700, "en", "a", 1), (101, "x" + "ab" * 300, "en", "a", 1), (102, "y" * 399, "en", "a", 1), (103, "y" * 399, "en", "a", 1)]
     made = spark.createDataFrame(rows, DOC)
-    for table in (made, docs) if hot == 1 else (made, docs, awkward.where("doc_id is null or doc_id <> 4")):
+    for table in (made, docs) if hot == 1 else (made, docs, awkward):
         want = by_hand_repeats([(r["doc_id"], r["text"]) for r in table.collect()], 400)
         got = suffix_dedup.remove_repeats(table).collect()
         assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == want
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_passages_of_words(spark, docs, awkward):
+    rng = np.random.RandomState(12)
+    fresh = lambda n: [f"{x}" for x in rng.randint(0, 10**9, n)]
+    shared = ["an", "it"] * 30
+    rows = [(0, " ".join(fresh(20) + shared[:51] + fresh(9)), "en", "a", 1), (1, "\n".join(fresh(3) + shared[:51]), "en", "a", 1), (2, " ".join(fresh(30) + [x.upper() for x in shared[:51]]), "en", "a", 1)]
+    p = fresh(51)
+    rows += [(3, " ".join(p + fresh(5)), "en", "a", 1), (4, "  ".join(fresh(7) + p), "en", "a", 1), (5, " ".join(fresh(7) + p[:50]), "en", "a", 1)]
+    for table in (spark.createDataFrame(rows, DOC), docs, awkward):
+        texts = [(str(r["doc_id"]), words(r["text"])) for r in table.collect()]
+        seen = Counter(tuple(w[i : i + 51]) for _, w in texts for i in range(len(w) - 50))
+        want = sorted((d, len({k for i in range(len(w) - 50) if seen[tuple(w[i : i + 51])] > 1 for k in range(i, i + 51)})) for d, w in texts)
+        got = suffix_dedup.remove_repeats(table, passage=51).collect()
+        assert sorted((str(r["doc_id"]), r["n_passage_words"]) for r in got) == want
+
+
 def test_suffix_sort_and_collisions(monkeypatch):
     rng = np.random.RandomState(9)
     contexts = [bytes(rng.randint(97, 99, 30 + 40).astype(np.uint8)) for _ in range(200)]
@@ -626,10 +642,25 @@ def test_pii_table(docs, awkward, empty):
 # ---- hashing
 
 
+def test_patterns_do_not_cancel_out(spark):
+    a = "a"
+    for _ in range(10):
+        a += a.translate({97: 98, 98: 97})
+    b = a.translate({97: 98, 98: 97})
+    assert len(a) == 1024 and len(set(hashing.words([f"{a} {b} {a[:300]} {b[:300]}".encode()], hashing.BLANK)[0].tolist())) == 4
+    texts = [f"{x} {' '.join(f'w{i}' for i in range(3))}" for x in (a, b)]
+    got = ngram_join.ngram_components(spark.createDataFrame([(i, x, "en", "a", 1) for i, x in enumerate(texts)], DOC)).collect()
+    assert sorted(r["component_id"] for r in got) == [0, 1]
+    items = spark.createDataFrame([(1, texts[0])], "item_id long, text string")
+    found = decontaminate.contamination(spark.createDataFrame([(i, x, "en", "a", 1) for i, x in enumerate(texts)], DOC), items).collect()
+    assert sorted((r["doc_id"], r["n_hit"]) for r in found) == [(0, 4), (1, 0)]
+    kept = suffix_dedup.remove_repeats(spark.createDataFrame([(0, "x" + a + "y", "en", "a", 1), (1, "z" + b + "w", "en", "a", 1)], DOC)).collect()
+    want = by_hand_repeats([(0, "x" + a + "y"), (1, "z" + b + "w")], 400)
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in kept) == want
+
+
 def test_shingles_across_pieces(monkeypatch):
     monkeypatch.setattr(hashing, "SLICE", 64)
-    monkeypatch.setattr(hashing, "_POW", hashing.powers(hashing.BASE, 66))
-    monkeypatch.setattr(hashing, "_INV", hashing.powers(hashing.inverse(hashing.BASE), 66))
     rows = [b"", b"one two", ("é " * 100 + "x" * 200 + " end of it all now").encode(), b"  a\tb\nc\x0bd\x0ce\rf  "]
     cut = hashing.shingles(rows)
     monkeypatch.undo()
