@@ -8,6 +8,7 @@ back to source ranges. Each transducer keeps the tokens it doesn't know.
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -19,8 +20,11 @@ from pyspark.sql import functions as F
 from .shared import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Possessive runs and look-behinds change no match: one that fails from the first character of a run fails from the
+#: others too, and without them a long run would be tried from each.
+_EMAIL_HERE = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)+")
+EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+-]){_EMAIL_HERE.pattern}")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -56,7 +60,8 @@ _AT = rf"(?:\s*{_OPEN}\s*(?:at|@|arroba|arobase)\s*{_CLOSE}\s*|\s+at\s+|\s+@\s*|
 _DOT = rf"(?:\s*{_OPEN}\s*(?:dot|\.|punkt|punto|point)\s*{_CLOSE}\s*|\s+(?:dot|punkt|punto)\s+)"
 _PART = r"[A-Za-z0-9_%+-]+"
 #: A disguised address: a disguised at with at least one dot, or a plain at with a disguised dot.
-_DISGUISED = re.compile(rf"{_PART}(?:(?:\.|{_DOT}){_PART})*(?:{_AT}|@)[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+", re.I)
+_LOCAL = re.compile(rf"{_PART}(?:(?:\.|{_DOT}){_PART})*+", re.I)
+_DOMAIN = re.compile(rf"(?:{_AT}|@)[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+", re.I)
 #: With a bare "at" and no disguised dot, the last label must be one of these, or see _plausible().
 _TOP = re.compile(r"\.(?:com|org|net|edu|gov|info|io|eu|uk|de|fr|es)$", re.I)
 _LABELS = re.compile(r"(?:[a-z0-9-]*[a-z][a-z0-9-]*\.)+[a-z]{2,24}\Z")
@@ -87,13 +92,38 @@ def _valid(kind: str, found: str) -> bool:
     return kind == "email" or 10 <= len(digits) <= 15
 
 
+def _emails(text: str) -> Iterator[re.Match]:
+    """Leftmost matches of EMAIL's pattern; one may begin where another ends, within a run."""
+    m = EMAIL.search(text)
+    while m:
+        yield m
+        m = _EMAIL_HERE.match(text, m.end()) or EMAIL.search(text, m.end())
+
+
+def _disguised(text: str) -> Iterator[Span]:
+    """Leftmost matches of _LOCAL and _DOMAIN. Where a local part isn't followed by a domain, none of its parts is."""
+    local = _LOCAL.search(text)
+    while local:
+        domain = _DOMAIN.match(text, local.end())
+        if domain:
+            yield local.start(), domain.end()
+        local = _LOCAL.search(text, (domain or local).end())
+
+
+def _free(spans: list[Span], s: Span) -> bool:
+    """Whether s overlaps none of the spans, which are in order and don't overlap."""
+    i = bisect.bisect_left(spans, s)
+    return (i == 0 or spans[i - 1][1] <= s[0]) and (i == len(spans) or s[1] <= spans[i][0])
+
+
 def base_spans(text: str) -> dict[str, list[Span]]:
     """Leftmost matches of each kind's pattern that don't overlap, without those that fail its test."""
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
     digit = _DIGIT.search(text) is not None
     for kind, pattern, may in (("email", EMAIL, "@" in text), ("ip", IP, digit and "." in text), ("card", CARD, digit), ("phone", PHONE, digit and "+" in text)):
         if may:
-            out[kind] = [m.span() for m in pattern.finditer(text) if _valid(kind, m[0])]
+            found = _emails(text) if pattern is EMAIL else pattern.finditer(text)
+            out[kind] = [m.span() for m in found if _valid(kind, m[0])]
     return out
 
 
@@ -143,7 +173,7 @@ _NOT_ASCII = re.compile(r"[^\x00-\x7f]")
 
 
 def fold_homoglyphs(x: Mapped) -> Mapped:
-    """Look-alike letters, digits, dashes and blanks as ASCII. Letters go only in tokens that also hold ASCII."""
+    """Look-alike letters, digits, dashes and blanks as ASCII. Each character is read by itself, whatever word it is in."""
     edits = []
     for m in _NOT_ASCII.finditer(x.text):
         c = m[0]
@@ -175,7 +205,7 @@ def read_digits(x: Mapped) -> Mapped:
     edits = list(_spelled_ips(x.text))
     ips = [e[:2] for e in edits]
     for run in _SPELLED.finditer(x.text):
-        if any(a < run.end() and run.start() < b for a, b in ips):
+        if not _free(ips, run.span()):
             continue
         before = None
         for m in _SPELLED_TOKEN.finditer(x.text, *run.span()):
@@ -190,13 +220,13 @@ def read_digits(x: Mapped) -> Mapped:
 def read_signs(x: Mapped) -> Mapped:
     """Disguised at and dot signs of addresses as signs."""
     edits = []
-    for pattern in (_DISGUISED, _DISGUISED_IP):
-        for run in pattern.finditer(x.text):
-            signs = list(_SIGN.finditer(x.text, *run.span()))
-            if pattern is _DISGUISED and len(signs) == 1 and _BARE_AT.fullmatch(signs[0][0]) and not _TOP.search(run[0]) and not _plausible(run[0], signs[0][0]):
-                continue
-            for m in signs:
-                edits.append((m.start(), m.end(), "@" if m["at"] else "."))
+    for span in _disguised(x.text):
+        found, signs = x.text[slice(*span)], list(_SIGN.finditer(x.text, *span))
+        if len(signs) == 1 and _BARE_AT.fullmatch(signs[0][0]) and not _TOP.search(found) and not _plausible(found, signs[0][0]):
+            continue
+        edits += [(m.start(), m.end(), "@" if m["at"] else ".") for m in signs]
+    for run in _DISGUISED_IP.finditer(x.text):
+        edits += [(m.start(), m.end(), "@" if m["at"] else ".") for m in _SIGN.finditer(x.text, *run.span())]
     edits.sort()
     clean, last = [], -1
     for e in edits:
@@ -225,9 +255,9 @@ def find_pii(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
         tried = x.text
         for kind, spans in base_spans(x.text).items():
             for s in map(x.source, spans):
-                if all(s[1] <= a or b <= s[0] for a, b in found[kind]):
-                    found[kind].append(s)
-    return base, {k: sorted(v) for k, v in found.items()}
+                if _free(found[kind], s):
+                    bisect.insort(found[kind], s)
+    return base, found
 
 
 def listed(spans: dict[str, list[Span]]) -> str:
@@ -236,12 +266,14 @@ def listed(spans: dict[str, list[Span]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, _, k, b in rows)
 
 
-def personal_data(docs: DataFrame) -> DataFrame:
+def personal_data(docs: DataFrame, redact: bool = True) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base, spans, redacted) for each row of docs (doc_id, text).
 
     The counts and base are of the patterns on the text as it is; spans adds what the plain text shows.
     Both are lists as listed() writes them. redacted: the text with each range of spans as [KIND].
-    A null text is an empty one.
+    Without redact it is null, and isn't made. A null text is an empty one; rows may repeat, texts may be of
+    any length, an empty table gives no rows, and other columns are ignored, whatever their names. Of two
+    spans that overlap, of one kind, the base one stays, then the one found in an earlier rewriting.
     """
     small_batches(docs.sparkSession)
 
@@ -255,6 +287,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
                     out[f"n_{k}"].append(len(base[k]))
                 out["base"].append(listed(base))
                 out["spans"].append(listed(found))
+                if not redact:
+                    out["redacted"].append(None)
+                    continue
                 kept, at = [], 0
                 for a, b, k in sorted((a, b, k) for k, v in found.items() for a, b in v):
                     if a >= at:

@@ -74,10 +74,11 @@ def _segments(rows: list[bytes], length: int) -> Iterator[tuple[int, int, bytes]
                 break
 
 
-def _find_anchors(length: int, gram: int):
+def _find_anchors(length: int, gram: int, coded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, th = H.texts(batch["text"]), batch["th"]
+            rows = _coded(rows) if coded else rows
             held: list[tuple[int, int, bytes]] = []
 
             def flush(held: list, th=th) -> pa.RecordBatch:
@@ -103,12 +104,13 @@ def _find_anchors(length: int, gram: int):
     return run
 
 
-def _contexts(length: int):
+def _contexts(length: int, coded: bool):
     """The bytes around the anchors listed for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, listed = H.texts(batch["text"]), batch["listed"].to_pylist()
+            rows = _coded(rows) if coded else rows
             for a, b in H.slices(rows):
                 out: dict[str, list] = {k: [] for k in (*_CLASS, "c", "hot", "ctx")}
                 for x, each in zip(rows[a:b], listed[a:b], strict=True):
@@ -124,10 +126,11 @@ def _contexts(length: int):
 
 def _prefix_hashes(rows: np.ndarray) -> np.ndarray:
     """Polynomial hashes of all prefixes of each row, modulo two primes that share a word."""
-    columns = np.ascontiguousarray(rows.T).astype(np.int64) + 1
+    columns = np.ascontiguousarray(rows.T)
     out = np.zeros((len(columns) + 1, len(rows)), np.int64)
     one, two = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-    for k, x in enumerate(columns):
+    for k, column in enumerate(columns):
+        x = column.astype(np.int64) + 1
         one = (one * 1_103_515_245 + x) % 2_147_483_647
         two = (two * 1_402_024_253 + x) % 2_147_483_629
         out[k + 1] = one << 31 | two
@@ -257,10 +260,10 @@ def _settle(length: int, gram: int):
         held: pa.Table | None = None
         for batch in batches:
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            while len(held) >= 4096:
+            while len(held) >= 2048:
                 group = held["grp"].to_numpy()
                 edges = np.flatnonzero(group[1:] != group[:-1]) + 1
-                inner = edges[edges <= 8192]
+                inner = edges[edges <= 4096]
                 if not len(edges):
                     break
                 end = int(inner[-1]) if len(inner) else int(edges[0])
@@ -309,15 +312,15 @@ def _each_window(length: int):
     return run
 
 
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _coded(rows: list[bytes]) -> list[bytes]:
     """Texts with CODE bytes of hash for each of their words."""
-    for batch in batches:
-        rows = H.texts(batch["text"])
-        for a, b in H.slices(rows):
-            h, row, _, _ = H.words(rows[a:b], H.BLANK)
-            bounds = np.searchsorted(row, np.arange(b - a + 1))
-            codes = (h >> H.U(32)).astype(np.uint32)
-            yield pa.record_batch([batch["th"].slice(a, b - a), pa.array([codes[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["th", "text"])
+    out = []
+    for a, b in H.slices(rows):
+        h, row, _, _ = H.words(rows[a:b], H.BLANK)
+        bounds = np.searchsorted(row, np.arange(b - a + 1))
+        codes = (h >> H.U(32)).astype(np.uint32)
+        out += [codes[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+    return out
 
 
 def named_texts(docs: DataFrame) -> DataFrame:
@@ -325,16 +328,17 @@ def named_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.unhex(F.md5("text")).alias("th"), "text").where("text is not null")
 
 
-def repeated_spans(named: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(named: DataFrame, length: int = LENGTH, gram: int = GRAM, coded: bool = False) -> DataFrame:
     """(th, begin, end): bytes of named_texts() that lie in a repeated string of so many bytes.
 
-    Spans of one text may overlap or touch. Texts without such a string have no row.
+    Spans of one text may overlap or touch. Texts without such a string have no row. coded: all this holds
+    for the codes of the texts' words, see CODE.
     """
     spark = named.sparkSession
     small_batches(spark)
     n = parts(spark)
-    named = named.where(F.octet_length("text") >= length)
-    anchors = cut(named.mapInArrow(_find_anchors(length, gram), "th binary, p long, o1 int, o2 int, ah long, r0 long"))
+    named = named.where(F.octet_length("text") >= (2 * length // CODE - 1 if coded else length))
+    anchors = cut(named.mapInArrow(_find_anchors(length, gram, coded), "th binary, p long, o1 int, o2 int, ah long, r0 long"))
     kind = F.xxhash64("r0", "o1", "o2")
     known = anchors.groupBy("ah").agg(F.count("*").alias("n"), F.min(kind).alias("x"), F.max(kind).alias("y")).where("n > 1")
     known = cut(known.select("ah", F.expr("x < y").alias("several")))  # written, so that a hot hash's anchors can be split in the join
@@ -346,7 +350,7 @@ def repeated_spans(named: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     hot = classes.groupBy("ah").agg(F.count("*").alias("k")).select("ah", (F.col("k") > HOT).alias("hot"))
     listed = classes.join(hot, "ah").groupBy(F.col("at.th").alias("th")).agg(F.collect_list(F.struct(*_CLASS, "c", "hot", F.col("at.p").alias("p"))).alias("listed"))
     one = named.groupBy("th").agg(F.first("text").alias("text"))
-    contexts = cut(one.join(listed, "th").select("text", "listed").mapInArrow(_contexts(length), "ah long, r0 long, o1 int, o2 int, c long, hot boolean, ctx binary"))
+    contexts = cut(one.join(listed, "th").select("text", "listed").mapInArrow(_contexts(length, coded), "ah long, r0 long, o1 int, o2 int, c long, hot boolean, ctx binary"))
     fields = "ah long, r0 long, o1 int, o2 int, c long, ctx binary, grp long, lo int, hi int"
     dealt = cut(contexts.where("hot").mapInArrow(_dealt(length, gram), fields))
     alike = cut(dealt.groupBy("grp").agg(F.count("*").alias("k")).where(F.col("k") > ALIKE).select("grp"))
@@ -382,8 +386,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pass
     named = named_texts(docs)
     spans = repeated_spans(named, length, gram).withColumn("coded", F.lit(False))
     if passage:
-        codes = named.mapInArrow(_coded, "th binary, text binary")
-        spans = spans.unionByName(repeated_spans(codes, CODE * passage, CODE * passage * gram // length).withColumn("coded", F.lit(True)))
+        runs = repeated_spans(named, CODE * passage, CODE * passage * gram // length, coded=True)
+        spans = spans.unionByName(runs.withColumn("coded", F.lit(True)))
     spans = spans.groupBy("th").agg(F.collect_list(F.struct("begin", "end", "coded")).alias("spans"))
     rows = docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("th")).join(spans, "th", "left").select("doc_id", "text", "spans")
 
