@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, unused
 
 #: Relative width of a sketch's buckets, and the value below which all fall into one.
 GAMMA, LEAST = 1.02, 1e-4
@@ -39,16 +39,16 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
-def _repeat_words(words: str) -> list[tuple[str, str]]:
+def _repeat_words(words: str, grams: str, places: str) -> list[str]:
     """Steps of SQL that count words within three-word windows that occur twice or more.
 
     Windows are sorted by two hashes with their places; equal neighbours are repeats; the places of
     repeats, in order, cover up to three words each.
     """
     return [
-        ("grams", f"case when size({words}) < 4 then cast(array() as array<struct<h:bigint,g:int,i:int>>) else sort_array(transform(sequence(0, size({words}) - 3), i -> struct(xxhash64({words}[i], {words}[i + 1], {words}[i + 2]) as h, hash({words}[i], {words}[i + 1], {words}[i + 2]) as g, i as i))) end"),
-        ("places", "case when size(grams) = 0 then cast(array() as array<int>) else sort_array(filter(transform(sequence(0, size(grams) - 1), j -> case when (j > 0 and grams[greatest(j - 1, 0)].h = grams[j].h and grams[greatest(j - 1, 0)].g = grams[j].g) or (j < size(grams) - 1 and grams[least(j + 1, size(grams) - 1)].h = grams[j].h and grams[least(j + 1, size(grams) - 1)].g = grams[j].g) then grams[j].i else -1 end), x -> x >= 0)) end"),
-        ("n_repeat_words", "case when size(places) = 0 then 0L when size(places) = 1 then 3L else aggregate(sequence(1, size(places) - 1), 3L, (s, j) -> s + least(3, places[j] - places[j - 1])) end"),
+        f"case when size({words}) < 4 then cast(array() as array<struct<h:bigint,g:int,i:int>>) else sort_array(transform(sequence(0, size({words}) - 3), i -> struct(xxhash64({words}[i], {words}[i + 1], {words}[i + 2]) as h, hash({words}[i], {words}[i + 1], {words}[i + 2]) as g, i as i))) end",
+        f"case when size({grams}) = 0 then cast(array() as array<int>) else sort_array(filter(transform(sequence(0, size({grams}) - 1), j -> case when (j > 0 and {grams}[greatest(j - 1, 0)].h = {grams}[j].h and {grams}[greatest(j - 1, 0)].g = {grams}[j].g) or (j < size({grams}) - 1 and {grams}[least(j + 1, size({grams}) - 1)].h = {grams}[j].h and {grams}[least(j + 1, size({grams}) - 1)].g = {grams}[j].g) then {grams}[j].i else -1 end), x -> x >= 0)) end",
+        f"case when size({places}) = 0 then 0L when size({places}) = 1 then 3L else aggregate(sequence(1, size({places}) - 1), 3L, (s, j) -> s + least(3, {places}[j] - {places}[j - 1])) end",
     ]
 
 
@@ -56,21 +56,22 @@ def with_measures(docs: DataFrame, name: str = "m") -> DataFrame:
     """docs and a struct column of counts: see the module's MEASURES and op3's contract."""
     kept = docs.columns
     text = F.coalesce(F.col("text"), F.lit(""))
-    at = docs.withColumns({"__w": words_of(F.col("text")), "__l": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
-    for step, sql in _repeat_words("__w"):
-        at = at.withColumn("__" + step, F.expr(sql.replace("grams", "__grams").replace("places", "__places")))
+    w, l, grams, places, n_repeat = unused(docs, "words", "lines", "grams", "places", "n_repeat_words")  # noqa: E741
+    at = docs.withColumns({w: words_of(F.col("text")), l: F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
+    for step, sql in zip((grams, places, n_repeat), _repeat_words(w, grams, places), strict=True):
+        at = at.withColumn(step, F.expr(sql))
     less = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
     counts = {
-        "n_words": F.size("__w").cast("long"),
-        "word_chars": F.length(F.array_join("__w", "")).cast("long"),
+        "n_words": F.size(w).cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
         "n_symbols": less("#*$%&|<>"),
-        "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
-        "n_repeat_words": F.col("__n_repeat_words"),
-        "n_lines": F.size("__l").cast("long"),
+        "n_dup_lines": (F.size(l) - F.size(F.array_distinct(l))).cast("long"),
+        "n_repeat_words": F.col(n_repeat),
+        "n_lines": F.size(l).cast("long"),
         "n_upper": less("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
         "n_shouts": less("!"),
     }
-    return at.select(*kept, F.struct(*(c.alias(k) for k, c in counts.items())).alias(name))
+    return at.select(*(F.col(f"`{c}`") for c in kept), F.struct(*(c.alias(k) for k, c in counts.items())).alias(name))
 
 
 def _bucket(value: str) -> str:
@@ -120,9 +121,9 @@ def fences(sketch: DataFrame) -> DataFrame:
 def _verdict(name: str) -> str:
     tests = []
     for k, (sql, _, two_sided) in MEASURES.items():
-        tests.append(f"cast({_of(sql, name)} as double) <= __f.high_{k}")
+        tests.append(f"cast({_of(sql, name)} as double) <= fence_.high_{k}")
         if two_sided:
-            tests.append(f"cast({_of(sql, name)} as double) >= __f.low_{k}")
+            tests.append(f"cast({_of(sql, name)} as double) >= fence_.low_{k}")
     return " and ".join(tests)
 
 
@@ -130,23 +131,25 @@ def judged(measured: DataFrame, name: str = "m") -> DataFrame:
     """measured with base_failed and kept. measured is read twice: for the sketches and for the verdicts.
 
     Documents of fewer than 50 words, or of which more than half lie in repeated three-word windows, fail
-    at once; the others are kept if all measures are within their group's fences. Null languages and
-    sources are groups of their own.
+    at once; the others are kept if all measures are within their group's fences. A null
+    language or source counts as an empty one.
     """
     table = cut(fences(sketches(measured, name)))
     columns = [c for c in table.columns if c not in ("lang", "source")]
-    groups = table.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.struct(*columns).alias("__f"))
-    on = ["__lang", "__source"]
-    rows = measured.withColumns({"__lang": F.coalesce("lang", F.lit("")), "__source": F.coalesce("source", F.lit(""))})
+    lang, source, fence, salt = unused(measured, "own_lang", "own_source", "fence_", "salt")
+    groups = table.select(F.col("lang").alias(lang), F.col("source").alias(source), F.struct(*columns).alias(fence))
+    on = [lang, source]
+    rows = measured.withColumns({lang: F.coalesce("lang", F.lit("")), source: F.coalesce("source", F.lit(""))})
     if table.count() <= FEW_GROUPS:
         groups = F.broadcast(groups)
     else:
-        groups = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id", f"{name}.word_chars"), F.lit(SALTS)).cast("int"))
-        on = [*on, "__salt"]
+        groups = groups.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn(salt, F.pmod(F.xxhash64("doc_id", f"{name}.word_chars"), F.lit(SALTS)).cast("int"))
+        on = [*on, salt]
     failed = f"({name}.n_words < 50 or 100 * {name}.n_repeat_words > 50 * {name}.n_words)"
     joined = rows.join(groups, on, "left")
-    return joined.select(*measured.columns, F.expr(failed).alias("base_failed"), F.expr(f"not {failed} and coalesce({_verdict(name)}, false)").alias("kept"))
+    verdict = _verdict(name).replace("fence_.", f"{fence}.")
+    return joined.select(*(F.col(f"`{c}`") for c in measured.columns), F.expr(failed).alias("base_failed"), F.expr(f"not {failed} and coalesce({verdict}, false)").alias("kept"))
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
@@ -160,14 +163,9 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """Rows of docs that quality_verdicts() keeps; columns stay. The rows are written once with their counts."""
-    name = "__measures"
-    measured = cut(with_measures(docs, name))
-    tables = measured.drop(*({"base_failed", "kept"} & set(docs.columns)))
-    passed = judged(tables, name) if len(tables.columns) == len(measured.columns) else None
-    if passed is None:  # columns of these names are in the way: carried within the struct's row
-        inner = measured.select("doc_id", "text", "lang", "source", name, F.struct(*(F.col(c) for c in docs.columns)).alias("__row"))
-        return judged(inner, name).where("kept").select("__row.*")
-    return passed.where("kept").select(docs.columns)
+    # the row is carried whole: none of its columns can clash with those of the verdict
+    measured = cut(with_measures(docs.select("doc_id", "text", "lang", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))).drop("text"))
+    return judged(measured).where("kept").select("row.*")
 
 
 __all__ = ["fences", "judged", "quality_filter", "quality_verdicts", "quartiles", "sketches", "with_measures", "words_of"]

@@ -46,6 +46,30 @@ def awkward(spark):
     return spark.createDataFrame(rows, DOC).withColumns({c: F.lit(1) for c in ("n_words", "n_tokens", "kept", "base_failed", "m", "id", "key", "score", "th", "label", "pass", "at", "comp")})
 
 
+#: Names that the operators give to columns of their own.
+OWN = "doc t own gone hit_ranges hit_items words lines grams places n_repeat_words own_lang own_source fence_ salt row __gone __w __f __hit_ranges".split()
+
+
+def test_clashing_columns(spark, awkward):
+    """Columns of these names change nothing, and come back as they were."""
+    table = awkward.withColumns({c: F.lit(f"own {c}") for c in OWN})
+    items = spark.createDataFrame([(1, "same text of a few words here and there same text of a few words here")], "item_id long, text string")
+    for run in (quality_rules.quality_filter, line_dedup.line_dedup, ngram_join.keep_one, lambda d: decontaminate.decontaminate(d, items), lambda d: decontaminate.decontaminate(d, items.union(items.selectExpr("2", "concat(text, ' more')")), block_words=8)):
+        got = run(table)
+        assert got.columns == table.columns
+        rows = got.collect()
+        assert all(r[c] == f"own {c}" for r in rows for c in OWN)
+        assert Counter((str(r["doc_id"]), r["text"]) for r in rows) == Counter((str(r["doc_id"]), r["text"]) for r in run(awkward).collect())
+
+
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_fences_joined_either_way(docs, monkeypatch, few):
+    monkeypatch.setattr(quality_rules, "FEW_GROUPS", few)
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_verdicts(docs).collect()}
+    monkeypatch.undo()
+    assert got == {r["doc_id"]: r["kept"] for r in quality_rules.quality_verdicts(docs).collect()}
+
+
 @pytest.fixture(scope="module")
 def empty(spark):
     return spark.createDataFrame([], DOC)
