@@ -159,7 +159,7 @@ MODES: dict[str, Noise] = {
     "Simplex": simplex,
     "Directional": simplex,
     "Cellular": cellular,
-    "Distance": ridge_distance,
+    "Distance": cellular,
     "Distance2Sub": ridge_distance,
     "FBM": fractal(simplex, 3),
     "Billow": fractal(simplex, 3, kind="Billow"),

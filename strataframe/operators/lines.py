@@ -65,7 +65,7 @@ def _hash(*keys: int) -> float:
     return h / M
 
 
-def midpoint_line(points: np.ndarray, resolution: float, rough: float, deflection: float, seed: int, most: int = 1 << 14) -> np.ndarray:
+def midpoint_line(points: np.ndarray, resolution: float, rough: float, deflection: float, seed: int) -> np.ndarray:
     """Each segment halved and its middle moved sideways until parts are shorter than resolution; parts move less the shorter they are."""
     total = float(np.hypot(*np.diff(points, axis=0).T).sum())
     out = [points[0]]
@@ -75,7 +75,7 @@ def midpoint_line(points: np.ndarray, resolution: float, rough: float, deflectio
             p, q, at = todo.pop()
             d = q - p
             n = math.hypot(*d)
-            if n < resolution or n == 0 or at >= most:
+            if n < resolution or n == 0:
                 out.append(q)
                 continue
             move = (2 * _hash(seed, i, at) - 1) * rough * deflection * (n / total) ** 0.6
@@ -93,7 +93,7 @@ def _uniform(*keys: Column) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(M)) / F.lit(float(M))
 
 
-def grown_ridges(axes: DataFrame, generations: int = 3, spur_interval: float = 20.0, spur_length: float = 50.0, lookahead: float = 5.0, most_spurs: int = 10_000) -> DataFrame:
+def grown_ridges(axes: DataFrame, generations: int = 3, spur_interval: float = 20.0, spur_length: float = 50.0, lookahead: float = 5.0) -> DataFrame:
     """(id, geom, epoch, base_amplitude, width_limit, generation): ridge axes and spurs of spurs.
 
     Along each line longer than the interval, spurs start every interval or so, turn off by 60 degrees and
@@ -103,7 +103,7 @@ def grown_ridges(axes: DataFrame, generations: int = 3, spur_interval: float = 2
     for g in range(1, generations):
         step = F.expr("transform(sequence(1, size(geom) - 1), i -> sqrt(power(geom[i].x - geom[i - 1].x, 2) + power(geom[i].y - geom[i - 1].y, 2)))")
         measured = front.where(F.size("geom") > 1).withColumn("step", step).withColumn("total", F.aggregate("step", F.lit(0.0), lambda s, x: s + x)).where(F.col("total") >= 2 * spur_interval)
-        n = F.least(F.lit(most_spurs), F.floor(F.col("total") / spur_interval).cast("int"))
+        n = F.floor(F.col("total") / spur_interval).cast("int")
         spots = measured.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         spots = spots.withColumn("at", F.lit(spur_interval) + (F.col("total") - 2 * spur_interval) * F.col("k") / F.greatest(F.col("n") - 1, F.lit(1)))
         here, there = _along(F.col("at")), _along(F.least(F.col("at") + lookahead, F.col("total")))

@@ -11,29 +11,40 @@ from pyspark.sql import functions as F
 
 from ..functions import algebra as A
 from ..sources.store import cut
-from .raster import first_by, inside
+from .raster import BAND, banded, first_by, inside
+
+
+def _square(name: str, at: Column) -> Column:
+    return (F.floor(at / F.lit(BAND)) == F.col(name))
 
 
 def in_water(points: DataFrame, water: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """Rows of points that lie in a polygon of water (geom)."""
     xs, ys = F.transform("geom", lambda p: p["x"]), F.transform("geom", lambda p: p["y"])
-    boxes = water.select(F.col("geom").alias("__g"), F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
-    met = (F.col(x) >= F.col("x0")) & (F.col(x) <= F.col("x1")) & (F.col(y) >= F.col("y0")) & (F.col(y) <= F.col("y1")) & inside("__g", F.col(x), F.col(y))
-    return points.join(boxes, met, "left_semi")
+    boxes = water.select(F.col("geom").alias("__g"), F.array_min(xs).alias("wx0"), F.array_max(xs).alias("wx1"), F.array_min(ys).alias("wy0"), F.array_max(ys).alias("wy1"))
+    boxes = banded(boxes, F.col("wx0"), F.col("wx1"), F.col("wy0"), F.col("wy1"))
+    met = _square("bx", F.col(x)) & _square("by", F.col(y)) & F.col(x).between(F.col("wx0"), F.col("wx1")) & F.col(y).between(F.col("wy0"), F.col("wy1"))
+    return points.join(boxes, met & inside("__g", F.col(x), F.col(y)), "left_semi")
+
+
+def _boxes(boxes: DataFrame) -> DataFrame:
+    b = boxes.select(F.col("c0").alias("bw"), F.col("r0").alias("bn"), F.col("c1").alias("be"), F.col("r1").alias("bs"))
+    return banded(b, F.col("bw"), F.col("be"), F.col("bn"), F.col("bs"))
 
 
 def outside_water(edges: DataFrame, boxes: DataFrame, key: str = "id") -> DataFrame:
     """edges (x0, y0, x1, y1) less those that lie within one box (c0, r0, c1, r1) of water; one that spans two stays."""
-    b = boxes.select(F.col("c0").alias("bw"), F.col("r0").alias("bn"), F.col("c1").alias("be"), F.col("r1").alias("bs"))
-    within = (F.least("x0", "x1") >= F.col("bw")) & (F.greatest("x0", "x1") <= F.col("be")) & (F.least("y0", "y1") >= F.col("bn")) & (F.greatest("y0", "y1") <= F.col("bs"))
-    return edges.join(b, within, "left_anti")
+    x, y = F.least("x0", "x1"), F.least("y0", "y1")
+    within = (x >= F.col("bw")) & (F.greatest("x0", "x1") <= F.col("be")) & (y >= F.col("bn")) & (F.greatest("y0", "y1") <= F.col("bs"))
+    return edges.join(_boxes(boxes), _square("bx", x) & _square("by", y) & within, "left_anti")
 
 
 def touching_water(edges: DataFrame, boxes: DataFrame) -> DataFrame:
     """Edges of which one end at least lies in a box of water."""
-    b = boxes.select(F.col("c0").alias("bw"), F.col("r0").alias("bn"), F.col("c1").alias("be"), F.col("r1").alias("bs"))
-    end = lambda x, y: (F.col(x) >= F.col("bw")) & (F.col(x) <= F.col("be")) & (F.col(y) >= F.col("bn")) & (F.col(y) <= F.col("bs"))
-    return edges.join(b, end("x0", "y0") | end("x1", "y1"), "left_semi")
+    b = _boxes(boxes)
+    end = lambda x, y: _square("bx", F.col(x)) & _square("by", F.col(y)) & F.col(x).between(F.col("bw"), F.col("be")) & F.col(y).between(F.col("bn"), F.col("bs"))
+    first = edges.join(b, end("x0", "y0"), "left_semi")
+    return first.unionByName(edges.join(b, end("x0", "y0"), "left_anti").join(b, end("x1", "y1"), "left_semi"))
 
 
 def graph_of(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -53,35 +64,39 @@ def anchors(edges: DataFrame, wet: DataFrame) -> DataFrame:
     return one.select("edge_id", F.when(F.col("wu"), F.col("v")).otherwise(F.col("u")).alias("land"), F.when(F.col("wu"), F.col("u")).otherwise(F.col("v")).alias("water"))
 
 
-def upstream(edges: DataFrame, seeds: DataFrame, stops: DataFrame | None = None, visited: DataFrame | None = None, most: int = 10_000) -> DataFrame:
+def upstream(edges: DataFrame, seeds: DataFrame, stops: DataFrame | None = None, visited: DataFrame | None = None) -> DataFrame:
     """(node, level, down, edge_id): for each node reached from the seeds (node), its way down.
 
-    Breadth first; a node that is reached twice in a level flows to the least node. Edges that would close
-    a loop are left out. Nodes of stops get their edge but are not passed. Nodes of visited are taken.
+    Breadth first, until a level reaches nothing new; a node that is reached twice in a level flows to the
+    least node. Edges that would close a loop are left out. Nodes of stops get their edge but are not passed.
+    Nodes of visited are taken. In a level only the two last ones have to be looked up: an edge leads one
+    level up or down at most, or within the level.
     """
     both = cut(edges.select("edge_id", F.col("u").alias("a"), F.col("v").alias("b")).unionByName(edges.select("edge_id", F.col("v").alias("a"), F.col("u").alias("b"))).where("a <> b"))
     kind = dict(edges.dtypes)["u"]
     found = cut(seeds.select("node").distinct().select("node", F.lit(0).alias("level"), F.lit(None).cast(kind).alias("down"), F.lit(None).cast(dict(edges.dtypes)["edge_id"]).alias("edge_id")))
-    levels, front = [found], found
-    for level in range(1, most + 1):
-        known = levels[0].select("node")
-        for x in levels[1:]:
-            known = known.unionByName(x.select("node"))
-        if visited is not None:
-            known = known.unionByName(visited.select("node"))
+    levels, last, front, level = [found], None, found, 0
+    while True:
+        level += 1
+        known = front.select("node") if last is None else front.select("node").unionByName(last.select("node"))
         start = front if stops is None or level == 1 else front.join(stops.select("node"), "node", "left_anti")
         step = start.select(F.col("node").alias("a")).join(both, "a").join(known.select(F.col("node").alias("b")), "b", "left_anti")
-        front = cut(first_by(step, ["b"], ["a", "edge_id"]).select(F.col("b").alias("node"), F.lit(level).alias("level"), F.col("a").alias("down"), "edge_id"))
+        if visited is not None:
+            step = step.join(visited.select(F.col("node").alias("b")), "b", "left_anti")
+        if stops is not None and level > 1:  # a stop that was reached earlier may be met again from any later level
+            step = step.join(cut(_all(levels).select("node").join(stops.select("node"), "node", "left_semi")).withColumnRenamed("node", "b"), "b", "left_anti")
+        last, front = front, cut(first_by(step, ["b"], ["a", "edge_id"]).select(F.col("b").alias("node"), F.lit(level).alias("level"), F.col("a").alias("down"), "edge_id"))
         if not front.take(1):
             break
         levels.append(front)
         if len(levels) > 32:  # fewer tables to union
-            whole = levels[0]
-            for x in levels[1:]:
-                whole = whole.unionByName(x)
-            levels = [cut(whole)]
-    out = levels[0]
-    for x in levels[1:]:
+            levels = [cut(_all(levels[:-1])), front]
+    return _all(levels)
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for x in tables[1:]:
         out = out.unionByName(x)
     return out
 
@@ -131,10 +146,9 @@ def flow(edges: DataFrame) -> DataFrame:
             break
         rest = state.where("n < k").select("node", "s", "c", "f", "n")
         done.append(ready)
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+        if len(done) > 32:  # fewer tables to union
+            done = [cut(_all(done))]
+    return _all(done)
 
 
 def cyclic_edges(edges: DataFrame) -> DataFrame:

@@ -488,6 +488,13 @@ def fractal_blend(spark, d):
     return recipe.build(V.grid_o(spark, d)).select("r", "c", rounded("elev").alias("elev"))
 
 
+@query(with_(O) + f"""select r, c, round(elev + (1 - {_nine("(c * 0.1::double)", "(r * 0.1::double)", 9)}[1]) * 30 * greatest(0, least(1, (elev - 1000) / 500.0::double)), 6) + 0.0 elev from grid_o""")
+def distance_ridges(spark, d):
+    """Hills around the random points: the nearest distance, inverted."""
+    recipe = P.Recipe([P.TectonicLayer("hills", 9, 0.1, 30.0, "Distance", P.AltitudeMask(1000, 500))])
+    return recipe.build(V.grid_o(spark, d)).select("r", "c", rounded("elev").alias("elev"))
+
+
 @query(
     with_(B)
     + f""", i as (select *, least(1, v / 500) f from cells)
@@ -745,19 +752,25 @@ def south_bank_ramp(spark, d):
 def ridge_growth(spark, d):
     axes = scans.ingest_axes(V.diagonals(spark, d)).withColumn("id", F.abs(F.xxhash64("geom")))
     grown = lines.grown_ridges(axes, 3, 1.0, 4.0)
-    return grown.groupBy("generation").agg(F.count("*").alias("n"), rounded(F.max("base_amplitude")).alias("amplitude"), rounded(F.max("width_limit")).alias("width"))
+    points = grown.select("id", "generation", "base_amplitude", "width_limit", F.posexplode("geom").alias("at", "p"))
+    return points.select("id", "generation", "at", rounded("p.x").alias("x"), rounded("p.y").alias("y"), rounded("base_amplitude").alias("amplitude"), rounded("width_limit").alias("width"))
 
 
 @query()
 def midpoint_fractal(spark, d):
     fine = lines.midpoint(V.diagonals(spark, d).select("id", "geom"), 0.5, 0.5, 2.0)
-    return fine.select("id", F.size("geom").alias("n"), rounded(F.element_at("geom", 1)["x"]).alias("x0"), rounded(F.element_at("geom", -1)["x"]).alias("x1"))
+    return fine.select("id", F.posexplode("geom").alias("at", "p")).select("id", "at", rounded("p.x").alias("x"), rounded("p.y").alias("y"))
 
 
-@query(with_(X) + "select id, case when c0 = c1 and r0 = r1 then 2 else 2 end n from rect")
+@query(
+    with_(X)
+    + """, bent as (select id, c1 - c0 dx, r1 - r0 dy, v % 4 / 4.0::double h from rect)
+select id, case when (case when dx = 0 and dy = 0 then sqrt(h * h) else abs(dx * h) / sqrt(dx * dx + dy * dy) end) > 0.3 then 3 else 2 end n from bent"""
+)
 def simplify_line(spark, d):
-    halved = F.expr("array(geom[0], named_struct('x', (geom[0].x + geom[1].x) / 2, 'y', (geom[0].y + geom[1].y) / 2), geom[1])")
-    return lines.simplify(V.diagonals(spark, d).select("id", halved.alias("geom")), 0.01).select("id", F.size("geom").alias("n"))
+    """Lines with a middle point that is lifted by a part of a cell: kept where it is off the straight line by more than 0.3."""
+    lifted = F.expr("array(geom[0], named_struct('x', (geom[0].x + geom[1].x) / 2, 'y', (geom[0].y + geom[1].y) / 2 + v % 4 / 4.0D), geom[1])")
+    return lines.simplify(V.diagonals(spark, d).select("id", lifted.alias("geom")), 0.3).select("id", F.size("geom").alias("n"))
 
 
 def _thick(spark, d):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataframe.functions import algebra as A
+from strataframe.functions import noise as N
 from strataframe.operators import components, distance, focal, lines, raster, rivers, zonal
 from strataframe.plans import recipes
 from strataframe.sources import scans, store
@@ -211,3 +212,28 @@ def test_stream(spark, tmp_path):
     source = ingest.arriving(spark, f"{tmp_path}/in", cells.schema)
     ingest.keep_applied(source, lambda df: df.withColumn("v", A.flatten(F.col("v"), F.col("v") > 2)), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert sorted(x["v"] for x in spark.read.parquet(f"{tmp_path}/out").collect()) == [0.0, 0.0, 1.0, 2.0]
+
+
+def test_walk_past_many_levels_and_stops(spark):
+    """A chain longer than the tables that are united at once, with a lake that later levels meet again."""
+    n = 45
+    chain = [(i, i, i + 1) for i in range(n)] + [(100, 3, 90), (101, 10, 90)]
+    edges = spark.createDataFrame(chain, "edge_id long, u long, v long")
+    seeds, lake = spark.createDataFrame([(0,)], "node long"), spark.createDataFrame([(90,)], "node long")
+    got = {r["node"]: (r["level"], r["down"]) for r in rivers.upstream(edges, seeds, lake).collect()}
+    assert got == {0: (0, None), 90: (4, 3)} | {i: (i, i - 1) for i in range(1, n + 1)}
+    free = {r["node"]: r["level"] for r in rivers.upstream(edges, seeds).collect()}
+    assert free[90] == 4 and free[10] == 5 and free[n] == n - 5
+
+
+def test_water_over_several_squares(spark):
+    """Boxes that span squares of the join: corners, borders, and an edge that lies in two boxes at once."""
+    boxes = spark.createDataFrame([(10, 10, 200, 140), (0, 150, 64, 160)], "c0 int, r0 int, c1 int, r1 int")
+    edges = spark.createDataFrame([(1, 10.0, 10.0, 200.0, 140.0), (2, 9.0, 10.0, 50.0, 50.0), (3, 64.0, 160.0, 300.0, 300.0), (4, 300.0, 300.0, 130.0, 70.0), (5, 400.0, 0.0, 500.0, 0.0)], "id int, x0 double, y0 double, x1 double, y1 double")
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    assert ids(rivers.outside_water(edges, boxes)) == [2, 3, 4, 5]
+    assert ids(rivers.touching_water(edges, boxes)) == [1, 2, 3, 4]
+
+
+def test_distance_mode_is_the_nearest_distance():
+    assert N.MODES["Distance"] is N.cellular and N.MODES["Distance2Sub"] is N.ridge_distance
