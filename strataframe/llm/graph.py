@@ -13,7 +13,7 @@ from .shared import cut, discard, is_empty, union_all
 #: Pairs for each row of the buckets up to which what the stars left is compared in full.
 FULL = 4
 #: Rounds after which buckets of FEW rows at most are compared in full; larger ones go on while rounds help, up to MOST.
-STARS, FEW, MOST = 3, 64, 12
+STARS, FEW, MOST = 3, 64, 8
 #: Pairs beyond which the full comparison begins with one pair of each two groups.
 MANY = 50_000
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -125,6 +126,37 @@ def test_html_sheets(css, seen):
     assert html_text.extract(f"<style>{css}</style><span class=main>M</span> <nav>N</nav>").split() == seen.split()
 
 
+@pytest.mark.parametrize("unit", ["<div>", "<div><p>x", "<div ", "<", "<a '", "<!", "</p>", "<b>", "<table><tr><td>", "<ul><li>", "<!-- "])
+def test_html_of_patterns_in_linear_time(unit):
+    began = time.perf_counter()
+    html_text.extract(unit * (200_000 // len(unit)))
+    assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize("unit", ["1", "a", "a.", "1.", "a@", "one ", "x dot ", "a at ", "1-", "a at b.co ", "10 dot 0 dot 0 dot 1 ", "[at] "])
+def test_pii_of_patterns_in_linear_time(unit):
+    began = time.perf_counter()
+    pii.find_pii(unit * (1_000_000 // len(unit)) + ".")
+    assert time.perf_counter() - began < 10
+
+
+def test_pii_base_against_plain_patterns():
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    double = lambda x: sum(int(c) for c in str(2 * int(x)))
+    holds = {
+        "email": lambda x: True,
+        "ip": lambda x: all(int(p) <= 255 for p in x.split(".")),
+        "card": lambda x: 14 <= len(digits(x)) <= 19 and sum(double(c) if i % 2 else int(c) for i, c in enumerate(reversed(digits(x)))) % 10 == 0,
+        "phone": lambda x: 10 <= len(digits(x)) <= 15,
+    }
+    rng = np.random.RandomState(13)
+    for _ in range(20_000):
+        text = "".join(rng.choice(list("a1@..-% ,2+(4")) for _ in range(rng.randint(0, 40)))
+        want = {k: [m.span() for m in re.finditer(p, text) if holds[k](m[0])] for k, p in plain.items()}
+        assert pii.base_spans(text) == want, text
+
+
 def test_html_formulas_labels_and_values():
     assert html_text.extract("a <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></semantics></math> b") == "a x=2 b"
     assert html_text.extract('<svg><title>t</title><defs><text>d</text></defs><path d="M0"/> z <text>Up <tspan>per</tspan></text><text>Low</text></svg>c') == "Up per Low c"
