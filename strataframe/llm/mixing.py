@@ -21,6 +21,11 @@ _PARTS = 32
 SALTS = 16
 
 
+#: Parts of a token by which a target may miss the next whole one and still count as it: the sums of weights are not
+#: exact, and their order isn't fixed.
+NEXT = 1e-6
+
+
 def token_table(docs: DataFrame) -> DataFrame:
     """(doc_id, source, n_tokens); a token is a run of characters other than blanks."""
     return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.size(words_of(F.col("text"))).cast("long").alias("n_tokens"))
@@ -66,7 +71,7 @@ def weights(tokens: DataFrame, budget: int | None = None, entropy_share: float =
     exponent = find_exponent(sources, total, budget, entropy_share, max_repeats) if total else 1.0
     z = sources.select(F.sum(F.expr(f"power(tokens / {total!r}D, {exponent!r}D)"))).first()[0] if total else 1.0
     shared = sources.withColumn("weight", F.expr(f"power(tokens / {total!r}D, {exponent!r}D) / {z!r}D"))
-    target = shared.withColumn("target", F.expr(f"cast(floor(least(weight * {budget}D, tokens * {max_repeats}D)) as bigint)"))
+    target = shared.withColumn("target", F.expr(f"cast(floor(least(weight * {budget}D, tokens * {max_repeats}D) + {NEXT}D) as bigint)"))
     return target.selectExpr("source", "tokens", "weight", "target", "target div tokens as passes", "target % tokens as rest")
 
 

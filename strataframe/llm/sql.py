@@ -126,7 +126,7 @@ with tok as (
 ), exponent as (
   select greatest(max(c) filter (entropy), coalesce(min(c) filter (repeats), 1048576)) / 1048576.0::double a from grid
 ), plan as (
-  select source, tokens, cast(floor(least(weight * total, tokens * 4.0::double)) as bigint) target from (
+  select source, tokens, cast(floor(least(weight * total, tokens * 4.0::double) + 1e-6::double) as bigint) target from (
     select source, tokens, total, pow(tokens / total, a) / sum(pow(tokens / total, a)) over () weight from src, tot, exponent)
 ), taken as (
   select tok.*, target // tokens passes, target % tokens rest from tok join plan using (source)
