@@ -112,6 +112,11 @@ def persistence_of(dimension: float) -> float:
     return 2.0 ** (dimension - 2.0)
 
 
+def coast_dimension(dimension: Column) -> Column:
+    """A measured dimension held within the range of real coasts."""
+    return clip(dimension, 1.1, 1.45)
+
+
 def river_width(magnitude: Column, least: float = 10.0, most: float = 500.0, scale: float = 1.5) -> Column:
     """Width that grows with the logarithm of the flow."""
     return F.least(F.lit(least) + F.log(F.greatest(magnitude.cast("double"), F.lit(1.0))) * F.lit(scale), F.lit(most))

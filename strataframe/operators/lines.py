@@ -65,8 +65,16 @@ def _hash(*keys: int) -> float:
     return h / M
 
 
+#: Greatest sideways move of a middle point, as a share of the length of the part that is halved.
+MOST = 0.8
+
+
 def midpoint_line(points: np.ndarray, resolution: float, rough: float, deflection: float, seed: int) -> np.ndarray:
-    """Each segment halved and its middle moved sideways until parts are shorter than resolution; parts move less the shorter they are."""
+    """Each segment halved and its middle moved sideways until parts are shorter than resolution; parts move less the shorter they are.
+
+    A middle moves by at most MOST of its part's length: halves are then always shorter than the whole, and the
+    work ends however large the deflection is beside the line.
+    """
     total = float(np.hypot(*np.diff(points, axis=0).T).sum())
     out = [points[0]]
     for i in range(len(points) - 1):
@@ -79,6 +87,7 @@ def midpoint_line(points: np.ndarray, resolution: float, rough: float, deflectio
                 out.append(q)
                 continue
             move = (2 * _hash(seed, i, at) - 1) * rough * deflection * (n / total) ** 0.6
+            move = max(-MOST * n, min(MOST * n, move))
             mid = (p + q) / 2 + np.array([-d[1], d[0]]) / n * move
             todo += [(mid, q, 2 * at + 1), (p, mid, 2 * at)]
     return np.array(out)
@@ -119,6 +128,15 @@ def grown_ridges(axes: DataFrame, generations: int = 3, spur_interval: float = 2
     return out
 
 
+def points_along(lines: DataFrame, at: Column, name: str = "p") -> DataFrame:
+    """lines (geom) and the point so far along each: its first point before it, its last one beyond it; null without points."""
+    step = F.expr("transform(sequence(1, greatest(size(geom) - 1, 1)), i -> coalesce(sqrt(power(geom[i].x - geom[i - 1].x, 2) + power(geom[i].y - geom[i - 1].y, 2)), 0D))")
+    far = F.aggregate("step", F.lit(0.0), lambda s, x: s + x)
+    so = F.greatest(F.lit(0.0), F.least(F.col("__at"), far))
+    point = F.when(F.size("geom") > 1, _along(so)).otherwise(F.expr("get(geom, 0)"))
+    return lines.withColumn("__at", at).withColumn("step", step).withColumn(name, point).drop("__at", "step")
+
+
 def _along(at: Column) -> Column:
     """The point of geom so far along it, from columns geom and step."""
     start = F.struct(F.lit(0.0).alias("before"), F.lit(None).cast("struct<x:double,y:double>").alias("p"))

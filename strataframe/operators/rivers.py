@@ -27,6 +27,11 @@ def in_water(points: DataFrame, water: DataFrame, x: str = "x", y: str = "y") ->
     return points.join(boxes, met & inside("__g", F.col(x), F.col(y)), "left_semi")
 
 
+def all_water(sea: DataFrame, lakes: DataFrame) -> DataFrame:
+    """(geom) of the sea and the lakes, as one water."""
+    return sea.select("geom").unionByName(lakes.select("geom"))
+
+
 def _boxes(boxes: DataFrame) -> DataFrame:
     b = boxes.select(F.col("c0").alias("bw"), F.col("r0").alias("bn"), F.col("c1").alias("be"), F.col("r1").alias("bs"))
     return banded(b, F.col("bw"), F.col("be"), F.col("bn"), F.col("bs"))
@@ -184,6 +189,11 @@ def widths(edges: DataFrame, least: float = 10.0, most: float = 500.0, scale: fl
     return edges.withColumn("width", A.river_width(F.col("magnitude"), least, most, scale))
 
 
+def width_range(edges: DataFrame) -> DataFrame:
+    """One row: how many edges, the narrowest and the widest."""
+    return edges.agg(F.count("*").alias("n"), F.min("width").alias("narrowest"), F.max("width").alias("widest"))
+
+
 def point_of(node: Column) -> tuple[Column, Column]:
     """Coordinates of a node named "(x, y)"."""
     number = r"(-?[0-9.]+(?:[eE][+-]?[0-9]+)?)"

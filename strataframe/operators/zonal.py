@@ -30,6 +30,12 @@ def normalised(cells: DataFrame, column: str, how: str, to: float = 10.0, name:
     return joined.withColumn(name, new).drop("__stat")
 
 
+def greatest_cut(cells: DataFrame, before: str, after: str, scale: int = 2) -> DataFrame:
+    """One row: by how many units, and metres, the deepest cell was lowered."""
+    most = F.max(F.col(before) - F.col(after))
+    return cells.agg(most.alias("units"), (most / F.lit(float(scale))).alias("metres"))
+
+
 def window_of(cells: DataFrame, mask: Column, pad: int = 50) -> tuple[int, int, int, int] | None:
     """(west, north, east, south) around a mask, ends exclusive, not before 0; None if it is empty."""
     top = cells.where(mask).agg(F.min("c"), F.min("r"), F.max("c"), F.max("r")).first()

@@ -293,6 +293,13 @@ def hydraulic_carve(spark, d):
     return D.carve(at, "units", F.col("river"), A.looked_up(F.col("z"), {5: 1.5}, 1.0)).select("r", "c", F.col("carved").alias("units"))
 
 
+@query("select max(trunc(elev * 2) - units)::int units, round(max(trunc(elev * 2) - units) / 2.0::double, 6) + 0.0 metres from (" + SQL["hydraulic_carve"] + ") join (select cast(o_orderkey // 100 as int) r, cast(o_orderkey % 100 as int) c, o_totalprice / 100.0::double elev from orders) using (r, c)")
+def greatest_cut(spark, d):
+    at = V.both(spark, d).withColumn("units", A.to_units(F.col("elev")))
+    carved = D.carve(at, "units", F.col("river"), A.looked_up(F.col("z"), {5: 1.5}, 1.0))
+    return zonal.greatest_cut(carved, "units", "carved").select("units", rounded("metres").alias("metres"))
+
+
 @query(
     with_(B)
     + f""", l as (select a.r, a.c, sqrt({_FAR}) d from cells a, (select * from cells where river) b group by a.r, a.c), h as (select a.r, a.c, sqrt({_FAR}) d from cells a, (select * from cells where z = 5 and not river) b group by a.r, a.c)
@@ -332,6 +339,14 @@ def fractal_dimension(spark, d):
     return zonal.fractal_dimension(at, "k", [(10, 10, 40, 30)], 2, 16).select(rounded("dimension").alias("dimension"))
 
 
+@query("select greatest(1.1::double, least(1.45::double, dimension)) dimension from (" + SQL["fractal_dimension"] + ")")
+def coast_dimension(spark, d):
+    """The measured dimension, held within what coasts have."""
+    at = V.grid_e(spark, d).withColumn("k", F.col("v") > 100)
+    measured = zonal.fractal_dimension(at, "k", [(10, 10, 40, 30)], 2, 16)
+    return measured.select(A.coast_dimension(F.col("dimension")).alias("dimension")).select(rounded("dimension").alias("dimension"))
+
+
 # ---- resolution
 
 
@@ -520,7 +535,39 @@ def fractal_mask(spark, d):
     return P.fractal_mask(V.grid_e(spark, d).withColumn("k", F.col("v") > 100), "k", 1.3, 8.0).select("r", "c", "rough")
 
 
-@query()
+def _blur_sql(source: str, value: str, sigma: float, out: str) -> str:
+    """CTEs that leave in out (r, c, v) a source's value blurred, mirrored at the edges."""
+    kernel = focal.gaussian_kernel(sigma)
+    k = len(kernel) // 2
+    weights = ", ".join(f"{x:.17g}::double" for x in kernel)
+    mirror = lambda i, n: f"case when {i} < 0 then -1 - ({i}) when {i} >= {n} then 2 * {n} - 1 - ({i}) else {i} end"
+    return f"""{out}_k as (select unnest(range(-{k}, {k + 1})) i, unnest([{weights}]) w), {out}_n as (select max(r) + 1 h, max(c) + 1 n from {source}),
+{out}_r as (select a.r, a.c, sum(w * b.{value}) v from {source} a cross join {out}_k cross join {out}_n join {source} b on b.c = a.c and b.r = {mirror("a.r + i", "h")} group by all),
+{out} as (select a.r, a.c, sum(w * b.v) v from {out}_r a cross join {out}_k cross join {out}_n join {out}_r b on b.r = a.r and b.c = {mirror("a.c + i", "n")} group by all)"""
+
+
+@query(with_(E, "f as (select r, c, case when v > 100 then 1.0::double else 0.0::double end x from grid_e)", _blur_sql("f", "x", 1.0, "b")) + ", s as (select r, c, v > 0.5 k from b)" + _rough_sql(4.0, 0.5, 8.0, 42))
+def smooth_mask(spark, d):
+    """A mask blurred before its border is made rough."""
+    return P.roughened(V.grid_e(spark, d).withColumn("k", F.col("v") > 100), "k", 42, 8.0, 4.0, pre_smooth=1.0).select("r", "c", "rough")
+
+
+def _component_sql(mask: str, corners: bool, table: str = "grid_o") -> str:
+    touch = "abs(a.r - b.r) <= 1 and abs(a.c - b.c) <= 1" if corners else "abs(a.r - b.r) + abs(a.c - b.c) = 1"
+    return f"s as (select cast(r as bigint) * 4294967296 + c id, r, c from {table} where {mask}), e as (select a.id x, b.id y from s a join s b on b.r between a.r - 1 and a.r + 1 and {touch} and a.id <> b.id), reach(x, y) as (select id, id from s union select reach.x, e.y from reach join e on reach.y = e.x), label as (select x id, min(y) label from reach group by x)"
+
+
+@query(
+    f"""with recursive {B}, near as (select a.r, a.c, min(((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c)) * 1000000000::bigint + b.c * 1000000::bigint + b.r) k from cells a, (select * from cells where river) b group by a.r, a.c),
+t as (select r, c, sqrt(k // 1000000000) d, k // 1000000 % 1000 sc, k % 1000000 sr, greatest(0, least(1, 1 - sqrt(k // 1000000000) / 6.0::double)) t from near),
+w as (select r, c, c + case when d > 0 then (sc - c) / d * (t * t * (3 - 2 * t)) * 2 else 0 end wx, r + case when d > 0 then (sr - r) / d * (t * t * (3 - 2 * t)) * 2 else 0 end wy from t),
+p as (select r, c, wx, wy, {_simplex("(wx * 0.06::double)", "(wy * 0.06::double)", 1003)} * 1.5::double shift from w), q as (select r, c, (wx + shift) * 0.03::double x, (wy + shift) * 0.03::double y from p),
+n as materialized (select r, c, m, elev + {_octaves(_simplex, "x", "y", 4, 3, 0.5, "(abs({}) * 2 - 1)")} * 50 elev from q join cells using (r, c)), {_component_sql("m = 0", False, "n")},
+l as (select r, c, label from s join label using (id)), ring as (select label, min(g.elev) low from l join n g on g.r between l.r - 1 and l.r + 1 and g.c between l.c - 1 and l.c + 1 where g.m <> 0 group by label),
+o as (select n.r, n.c, coalesce(low, n.elev) elev from n left join l using (r, c) left join ring using (label)),
+far as (select a.r, a.c, any_value(a.elev) elev, sqrt({_FAR}) d from o a, (select * from o where {_SEA}) b group by a.r, a.c), g as (select r, c, elev, least(1, d / case when elev > 100 then 2.0::double else 10.0::double end) t from far)
+select r, c, round(elev * (t * t * (3 - 2 * t)), 6) + 0.0 elev from g"""
+)
 def recipe_layers(spark, d):
     """Every kind of layer once: warp, rough noise, lakes, coast."""
     cells = V.both(spark, d).withColumns({"lake": F.col("m") == 0, "sea": F.expr(_SEA), "width": F.lit(1.0)})
@@ -528,17 +575,54 @@ def recipe_layers(spark, d):
     return recipe.build(cells).select("r", "c", rounded("elev").alias("elev"))
 
 
-@query()
+@query(
+    with_(O, f"n as (select r, c, m, ({_u('c', 'r', 42)} * 2 - 1) * 10 x from grid_o)", _blur_sql("n", "x", 3.0, "b"))
+    + "select r, c, round(-50 + case when m > 0 then b.v * 10 / max(abs(b.v)) over () else 0 end, 6) + 0.0 elev from n join b using (r, c)"
+)
 def seabed(spark, d):
     cells = V.grid_o(spark, d).withColumn("active_mask", F.col("m"))
     return P.seabed(cells, sigma=3.0).select("r", "c", rounded("elev").alias("elev"))
 
 
-@query()
+@query(
+    with_(O, "step as (" + _STEPS.format(k=2) + ")")
+    + """, near as (select a.r, a.c, a.z, bool_and(coalesce(b.z > 1, false)) kept from grid_o a cross join step left join grid_o b on b.r = a.r + i and b.c = a.c + j group by all),
+strip as (select r, c, case when z > 1 and kept then 1 when z > 1 then 2 else 0 end k from near),
+wide as (select a.r, a.c, a.k, bool_or(coalesce(b.k > 0, false)) m from strip a cross join step left join strip b on b.r = a.r + i and b.c = a.c + j group by all),
+back as (select a.r, a.c, a.k, bool_and(coalesce(b.m, false)) h from wide a cross join step left join wide b on b.r = a.r + i and b.c = a.c + j group by all)
+select case when h and k = 0 then 1 else k end active_mask, count(*) n from back group by 1"""
+)
 def active_mask(spark, d):
     return P.activated(V.grid_o(spark, d).withColumn("within", F.col("z") > 1), "within", 2).groupBy("active_mask").agg(F.count("*").alias("n"))
 
 
+@query(
+    with_(O)
+    + f""", p as (select r, c, m, z, {_simplex("(c * 0.1::double)", "(r * 0.1::double)", 1010)} * 2 shift from grid_o), q as (select r, c, (c + shift + m * 0.5::double) * 0.05::double x, (r + shift + z * 0.5::double) * 0.05::double y from p)
+select r, c, round({_octaves(_simplex, "x", "y", 11, 4, 0.5, "(1 - abs({}) * 2)")}, 6) + 0.0 v from q"""
+)
+def perturbed_noise(spark, d):
+    """Ridges at coordinates that a finer noise and two fields displace."""
+    stage = N.Stage(V.grid_o(spark, d))
+    noise = N.generated(stage, "RidgedMulti", F.col("c").cast("double"), F.col("r").cast("double"), 0.05, 11, 2.0, F.col("m"), F.col("z"), 0.5)
+    return stage.end(n=noise).select("r", "c", rounded("n").alias("v"))
+
+
+_HILLS = _octaves(_simplex, "(c * 0.05::double)", "(r * 0.05::double)", 5, 2, 0.5)
+
+
+@query(
+    with_(B)
+    + f""", far as (select a.r, a.c, any_value(a.elev) elev, greatest(0, 1 - sqrt({_FAR}) / 4.0::double) w from cells a, (select * from cells where river) b group by a.r, a.c)
+select r, c, round(elev + {_HILLS} * 100 * w + {_HILLS} * 10 * (1 - w), 6) + 0.0 elev from far"""
+)
+def feature_mask(spark, d):
+    """Noise near features, and a weaker one away from them; a mask of an absent column weighs nothing in."""
+    near, away = P.FeatureMask("river", 4.0), P.FeatureMask("river", 4.0, True)
+    recipe = P.Recipe([P.FractalLayer("near", 5, 20.0, 100.0, "FBM", 2, mask=near), P.FractalLayer("away", 5, 20.0, 10.0, "FBM", 2, mask=away), P.FractalLayer("none", 5, 20.0, 10.0, "FBM", 2, mask=P.FeatureMask("absent"))])
+    return recipe.build(V.both(spark, d)).select("r", "c", rounded("elev").alias("elev"))
+
+
 # ---- features to cells
 
 
@@ -562,12 +646,18 @@ def buffered_lines(spark, d):
     return raster.buffered(V.grid_o(spark, d), V.diagonals(spark, d), (F.col("v") % 4 + 1) / 2.0).where("mask").select("r", "c")
 
 
-@query()
+#: Cells of the diagonals in whole numbers of half cells.
+_LINE_CELLS = """l as (select id, 2 * c0 + 1 x0, 2 * r0 + 1 y0, 2 * (c1 - c0) dx, 2 * (r1 - r0) dy from rect), met as (select *, unnest(range(y0 // 2, (y0 + dy) // 2 + 1)) r from l),
+part as (select id, r, case when dy = 0 then x0 // 2 else (x0 * dy + (greatest(2 * r, y0) - y0) * dx) // (2 * dy) end lo, case when dy = 0 then (x0 + dx) // 2 else (x0 * dy + (least(2 * r + 2, y0 + dy) - y0) * dx) // (2 * dy) end hi from met),
+passed as (select id, cast(r as int) r, cast(unnest(range(lo, hi + 1)) as int) c from part)"""
+
+
+@query(with_(X, _LINE_CELLS) + "select id, r, c from passed")
 def line_burn(spark, d):
     return raster.line_cells(V.diagonals(spark, d), ["id"])
 
 
-@query()
+@query(with_(X, _LINE_CELLS) + "select r, c, max_by(case id // 20 % 4 when 0 then 255 when 1 then 180 when 2 then 100 else 50 end, id) as value from passed group by r, c")
 def spine_raster(spark, d):
     return raster.spine_raster(V.diagonals(spark, d).withColumns({"generation": F.expr("cast(id div 20 % 4 as int)"), "seq": F.col("id")}))
 
@@ -578,6 +668,19 @@ def points_in_water(spark, d):
     return rivers.in_water(points, V.rings(spark, d).where("id % 40 = 0")).select("id")
 
 
+@query(with_(O, X) + "select r, c, exists (select 1 from rect where g.r between r0 and r1 and g.c between c0 and c1) mask from grid_o g where r >= 5 and r < 12")
+def strip_mask(spark, d):
+    return raster.strip(V.grid_o(spark, d), V.rings(spark, d), 5, 7).select("r", "c", "mask")
+
+
+@query(with_(X) + "select distinct a.id from rect a join rect b on a.c0 + 0.5 >= b.c0 and a.c0 + 0.5 <= b.c1 + 1 and a.r0 + 0.5 >= b.r0 and a.r0 + 0.5 <= b.r1 + 1 and (b.id % 60 = 0 or b.id % 100 = 0) where a.id % 40 = 20")
+def sea_and_lakes(spark, d):
+    """Points in the sea's or the lakes' polygons, taken as one water."""
+    points = V.rect(spark, d).where("id % 40 = 20").select("id", (F.col("c0") + 0.5).alias("x"), (F.col("r0") + 0.5).alias("y"))
+    water = rivers.all_water(V.rings(spark, d).where("id % 60 = 0"), V.rings(spark, d).where("id % 100 = 0"))
+    return rivers.in_water(points, water).select("id")
+
+
 # ---- rivers
 
 _PLACED = "placed as (select u edge_id, u, v, len, u * 7 % 100 x0, u * 13 % 150 y0, v * 7 % 100 x1, v * 13 % 150 y1 from river)"
@@ -621,6 +724,20 @@ def upstream_walk(spark, d):
     return rivers.upstream(mixed(spark, d), spark.createDataFrame([(0,)], "node long")).select("node", "level")
 
 
+@query("with recursive " + R + ", walk(node, level) as (select cast(0 as bigint), 0 union all select u, level + 1 from river join walk on v = node where level = 0 or node % 7 <> 3) select node, level from walk")
+def walk_to_lakes(spark, d):
+    """Up from the sea; lakes are reached and not passed."""
+    lakes = V.river(spark, d).where("u % 7 = 3").select(F.col("u").alias("node"))
+    return rivers.upstream(mixed(spark, d), spark.createDataFrame([(0,)], "node long"), lakes).select("node", "level")
+
+
+@query(with_(R) + "select u edge_id, u source, v target from river")
+def orient_through_lakes(spark, d):
+    """Up from the sea to the lakes, and on from the lakes that were reached."""
+    lakes = V.river(spark, d).where("u % 7 = 3").select(F.col("u").alias("node"))
+    return rivers.oriented(mixed(spark, d), None, spark.createDataFrame([(0,)], "node long"), lakes)
+
+
 def flowing(spark, d):
     return V.river(spark, d).select(F.col("u").alias("edge_id"), F.col("u").alias("source"), F.col("v").alias("target"), "len")
 
@@ -655,6 +772,20 @@ def river_widths(spark, d):
     return wide.select("edge_id", "magnitude", rounded("width").alias("width"))
 
 
+@query("with recursive " + R + ", " + _FLOW + " select count(*) n, round(min(least(20 + ln(flow) * 100, 1000)), 6) + 0.0 narrowest, round(max(least(20 + ln(flow) * 100, 1000)), 6) + 0.0 widest from river join flow on u = node")
+def width_range(spark, d):
+    edges = flowing(spark, d)
+    wide = rivers.widths(rivers.edge_flow(edges, rivers.flow(edges)), 20.0, 1000.0, 100.0)
+    return rivers.width_range(wide).select("n", rounded("narrowest").alias("narrowest"), rounded("widest").alias("widest"))
+
+
+@query(with_(R, _PLACED) + "select cast(u as varchar) u, cast(v as varchar) v, count(*) n from placed group by all")
+def network_sink(spark, d):
+    path = f"{store.shared_folder(spark)}/network-{uuid.uuid4().hex}"
+    scans.write_network(placed(spark, d), path)
+    return spark.read.parquet(path).groupBy("u", "v").agg(F.count("*").alias("n"))
+
+
 @query(with_(R, _PLACED) + ", apart as (select p.edge_id a, q.edge_id b, sqrt(pow(q.x0 - (p.x1 + p.edge_id % 3), 2)) gap from placed p join placed q on p.v = q.u) select count(*) n, round(sum(gap), 6) + 0.0 total, (select count(*) from placed where u % 5 > 1) misplaced from apart where gap > 1")
 def topology_check(spark, d):
     at = placed(spark, d).withColumns({"source": F.concat(F.lit("("), F.col("x0") + F.col("u") % 5, F.lit(", "), F.col("y0"), F.lit(")")), "target": F.col("v")})
@@ -682,12 +813,11 @@ def flow_arrows(spark, d):
     return rivers.directions(placed(spark, d)).select("edge_id", rounded("dx").alias("dx"), rounded("dy").alias("dy"))
 
 
-@query(with_(R) + "select u source, v target from river")
+@query(with_(R) + "select u source, v target from river union all select * from (values (0, 1000000000), (1000000000, 1000000001), (1000000001, 1000000002))")
 def cycles_removed(spark, d):
-    """The tree with three edges added that close cycles, and they are taken out again."""
+    """The tree and a cycle of three below its root, of which the largest edge goes."""
     extra = spark.createDataFrame([(0, 10**9), (10**9, 10**9 + 1), (10**9 + 1, 10**9 + 2)], "source long, target long").unionByName(spark.createDataFrame([(10**9 + 2, 10**9)], "source long, target long"))
-    left = rivers.without_cycles(flowing(spark, d).select("source", "target").unionByName(extra))
-    return left.where(F.greatest("source", "target") < 10**9)
+    return rivers.without_cycles(flowing(spark, d).select("source", "target").unionByName(extra))
 
 
 @query(with_(X) + ", l as (select id, '(' || (c0 + 0.5::double) || ', ' || (r0 + 0.5::double) || ')' u, '(' || (c1 + 0.5::double) || ', ' || (r1 + 0.5::double) || ')' v from rect) select min(id) edge_id, least(u, v) a, greatest(u, v) b from l group by 2, 3")
@@ -699,11 +829,6 @@ def graph_of_lines(spark, d):
 # ---- components
 
 
-def _component_sql(mask: str, corners: bool) -> str:
-    touch = "abs(a.r - b.r) <= 1 and abs(a.c - b.c) <= 1" if corners else "abs(a.r - b.r) + abs(a.c - b.c) = 1"
-    return f"s as (select cast(r as bigint) * 4294967296 + c id, r, c from grid_o where {mask}), e as (select a.id x, b.id y from s a join s b on b.r between a.r - 1 and a.r + 1 and {touch} and a.id <> b.id), reach(x, y) as (select id, id from s union select reach.x, e.y from reach join e on reach.y = e.x), label as (select x id, min(y) label from reach group by x)"
-
-
 @query("with recursive " + O + ", " + _component_sql("m = 0", False) + " select r, c, label from s join label using (id)")
 def components(spark, d):
     return C.components(V.grid_o(spark, d), F.col("m") == 0)
@@ -756,7 +881,28 @@ def ridge_growth(spark, d):
     return points.select("id", "generation", "at", rounded("p.x").alias("x"), rounded("p.y").alias("y"), rounded("base_amplitude").alias("amplitude"), rounded("width_limit").alias("width"))
 
 
-@query()
+_MIXED = f"({{h}} * 48271 + {{k}} * 69621 + 977) % {N.M}"
+
+
+def _mix(h: str, k: str) -> str:
+    g = f"({_MIXED.format(h=h, k=k)})"
+    return f"(({g} * {g} + 613) % {N.M})"
+
+
+_LENGTH = "sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py))"
+
+
+@query(
+    "with recursive "
+    + X
+    + f""", one as (select id, {_mix("12345::bigint", "id")} h, c0 + 0.5::double px, r0 + 0.5::double py, c1 + 0.5::double qx, r1 + 0.5::double qy from rect), two as (select id, {_mix("h", "0")} h, {_LENGTH} total, px, py, qx, qy from one),
+seg(id, h, total, place, depth, px, py, qx, qy, n) as (select id, h, total, 1::bigint, 0, px, py, qx, qy, total from two union all
+  select id, h, total, place * 2 + side, depth + 1, case side when 0 then px else mx end, case side when 0 then py else my end, case side when 0 then mx else qx end, case side when 0 then my else qy end,
+    sqrt(case side when 0 then (mx - px) * (mx - px) + (my - py) * (my - py) else (qx - mx) * (qx - mx) + (qy - my) * (qy - my) end)
+  from (select *, (px + qx) / 2 - (qy - py) / n * move mx, (py + qy) / 2 + (qx - px) / n * move my from (select *, greatest(-0.8::double * n, least(0.8::double * n, (2 * ({_mix("h", "place")} / {N.M}.0::double) - 1) * 0.5::double * 2 * pow(n / total, 0.6::double))) move from seg where n >= 0.5)), (select unnest([0, 1]) side))
+select id, 0 as "at", round(px, 6) + 0.0 x, round(py, 6) + 0.0 y from two union all
+select id, cast(row_number() over (partition by id order by place / pow(2.0::double, depth)) as int) "at", round(qx, 6) + 0.0, round(qy, 6) + 0.0 from seg where n < 0.5"""
+)
 def midpoint_fractal(spark, d):
     fine = lines.midpoint(V.diagonals(spark, d).select("id", "geom"), 0.5, 0.5, 2.0)
     return fine.select("id", F.posexplode("geom").alias("at", "p")).select("id", "at", rounded("p.x").alias("x"), rounded("p.y").alias("y"))
@@ -773,6 +919,14 @@ def simplify_line(spark, d):
     return lines.simplify(V.diagonals(spark, d).select("id", lifted.alias("geom")), 0.3).select("id", F.size("geom").alias("n"))
 
 
+@query(with_(X) + ", l as (select id, c0 + 0.5::double x0, r0 + 0.5::double y0, c1 - c0 dx, r1 - r0 dy, v % 5 * 0.7::double so from rect), n as (select *, sqrt(dx * dx + dy * dy) len from l) select id, round(case when len = 0 then x0 else x0 + dx * least(so, len) / len end, 6) + 0.0 x, round(case when len = 0 then y0 else y0 + dy * least(so, len) / len end, 6) + 0.0 y from n")
+def points_along(spark, d):
+    """A point so far along each line, on lines with a middle point."""
+    bent = F.expr("array(geom[0], named_struct('x', (geom[0].x + geom[1].x) / 2, 'y', (geom[0].y + geom[1].y) / 2), geom[1])")
+    at = lines.points_along(V.diagonals(spark, d).withColumn("geom", bent), F.expr("v % 5 * 0.7D"))
+    return at.select("id", rounded("p.x").alias("x"), rounded("p.y").alias("y"))
+
+
 def _thick(spark, d):
     return V.grid_o(spark, d).withColumn("wet", F.expr("r between 2 and 6 or c between 40 and 44"))
 
@@ -807,3 +961,36 @@ def mask_export(spark, d):
     path = f"{store.shared_folder(spark)}/mask-{uuid.uuid4().hex}"
     scans.write_mask(V.grid_o(spark, d).withColumn("k", F.col("m") == 0), "k", path, 255)
     return spark.read.parquet(path).select("r", "c", F.col("k").cast("int").alias("shown"))
+
+
+@query(with_(O) + "select r, c, round(case when m = 2 then 7 else round_even(elev, 0) end, 6)::double elev from grid_o")
+def units_sink(spark, d):
+    """Rounded whole numbers with a sentinel, written and read as a layer whose gaps are filled."""
+    path = f"{store.shared_folder(spark)}/units-{uuid.uuid4().hex}"
+    cells = V.grid_o(spark, d)
+    scans.write_units(cells, "elev", path, "m <> 2")
+    return scans.read_layer(cells.select("r", "c"), spark.read.parquet(path), "elev", "elev", -32768, 7.0).select("r", "c", F.col("elev").cast("double").alias("elev"))
+
+
+@query(with_(O) + "select r, c, round(case when m = 2 then -1 else cast(cast(elev as float) as double) end, 4) + 0.0 elev from grid_o")
+def floats_sink(spark, d):
+    path = f"{store.shared_folder(spark)}/floats-{uuid.uuid4().hex}"
+    cells = V.grid_o(spark, d)
+    scans.write_floats(cells.withColumn("elev", F.when(F.col("m") != 2, F.col("elev"))), "elev", path)
+    back = scans.read_layer(cells.select("r", "c"), spark.read.parquet(path), "elev", "elev", -9999.0, -1.0)
+    return back.select("r", "c", (F.round(F.col("elev").cast("double"), 4) + F.lit(0.0)).alias("elev"))
+
+
+@query(with_(X) + "select id, case when v % 3 = 0 then 1 else v end epoch, 1000.0::double base_amplitude, case when v % 2 = 0 then 10.0::double else v / 2.0::double end width_limit, 0 generation from rect")
+def ingest_axes(spark, d):
+    """Ridge axes with gaps in some columns and one column missing."""
+    axes = V.diagonals(spark, d).select("geom", "id", F.when(F.col("v") % 3 != 0, F.col("v")).alias("oe_epoch"), F.when(F.col("v") % 2 != 0, F.col("v") / 2.0).alias("width_km"))
+    at = scans.ingest_axes(axes).withColumn("place", F.col("geom"))
+    return at.join(axes.select("id", F.col("geom").alias("place")), "place").select("id", "epoch", "base_amplitude", "width_limit", "generation")
+
+
+@query(with_(X) + "select id, round((c0 + 0.5::double) * 30 + 5, 6) + 0.0 x, round((r0 + 0.5::double) * -30 + 7, 6) + 0.0 y, 'EPSG:32632' crs from rect")
+def project_lines(spark, d):
+    """Geographic lines put into a plane by the region's affine map."""
+    at = scans.projected(V.diagonals(spark, d), True, 32632, (30.0, 0.0, 5.0, 0.0, -30.0, 7.0))
+    return at.select("id", rounded(F.col("geom")[0]["x"]).alias("x"), rounded(F.col("geom")[0]["y"]).alias("y"), "crs")

@@ -109,6 +109,11 @@ def write_units(cells: DataFrame, column: str, path: str, valid: str | None = No
     cells.select("r", "c", A.to_sentinel(value, nodata).alias(column)).write.mode("overwrite").parquet(path)
 
 
+def write_floats(cells: DataFrame, column: str, path: str, nodata: float = -9999.0) -> None:
+    """A layer as floats, with a sentinel where it has no value."""
+    cells.select("r", "c", F.coalesce(F.col(column).cast("float"), F.lit(nodata).cast("float")).alias(column)).write.mode("overwrite").parquet(path)
+
+
 def write_mask(cells: DataFrame, column: str, path: str, on: int = 1) -> None:
     """A mask as bytes of 0 and on."""
     cells.select("r", "c", F.when(F.col(column), on).otherwise(0).cast("tinyint" if on < 128 else "smallint").alias(column)).write.mode("overwrite").parquet(path)

@@ -173,6 +173,14 @@ def test_skeleton_of_a_wide_area(spark):
     assert thin == set(map(tuple, np.argwhere(lines.thinned(area, 1000)).tolist())) and thin != set(map(tuple, np.argwhere(lines.thinned(area, 64)).tolist()))
 
 
+def test_midpoint_ends_where_the_deflection_outgrows_the_line():
+    from strataframe.operators.lines import midpoint_line
+
+    for seed in range(200):
+        line = midpoint_line(np.array([[0.0, 0.0], [1.0, 0.0]]), 0.5, 0.5, 1000.0, seed)
+        assert 3 <= len(line) < 1 << 13 and (np.hypot(*np.diff(line, axis=0).T) < 0.5).all()
+
+
 def test_midpoint_is_repeatable():
     a = lines.midpoint_line(np.array([[0.0, 0.0], [10.0, 0.0]]), 1.0, 0.5, 4.0, 7)
     b = lines.midpoint_line(np.array([[0.0, 0.0], [10.0, 0.0]]), 1.0, 0.5, 4.0, 7)
