@@ -13,28 +13,37 @@ from .focal import _down
 from .resample import bilinear, strided
 
 #: Cells of the rows that are handled together in the second pass.
-BAND_CELLS = 1 << 18
-
-
-def lower_envelope(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """min over j of f[j] + (i - j)^2 for all i, and the j that has it (the least one); f may be infinite."""
-    n = len(f)
-    v, z, k = np.zeros(n, np.int64), np.empty(n + 1), -1
-    for q in np.flatnonzero(np.isfinite(f)):
-        while k >= 0:
-            s = ((f[q] + q * q) - (f[v[k]] + v[k] * v[k])) / (2.0 * (q - v[k]))
-            if s > z[k]:
-                break
-            k -= 1
-        k += 1
-        v[k] = q
-        z[k] = -np.inf if k == 0 else s
-        z[k + 1] = np.inf
-    if k < 0:
-        return np.full(n, np.inf), np.full(n, -1)
+BAND_CELLS = 1 << 20
+
+
+def lower_envelopes(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of f: min over j of f[j] + (i - j)^2 for all i, and the j that has it (the least one); f may be infinite.
+
+    Columns are taken one after another, for all rows at once: each row has its stack of parabolas (v, from z on).
+    Where a row is infinite throughout, j is -1.
+    """
+    m, n = f.shape
+    v, z, top = np.zeros((m, n), np.int64), np.full((m, n), -np.inf), np.full(m, -1)
+    finite = np.isfinite(f)
+    for q in np.flatnonzero(finite.any(axis=0)):
+        rows = np.flatnonzero(finite[:, q])
+        start = np.full(len(rows), -np.inf)
+        todo = np.flatnonzero(top[rows] >= 0)
+        while len(todo):
+            r = rows[todo]
+            j = v[r, top[r]]
+            start[todo] = s = ((f[r, q] + q * q) - (f[r, j] + j * j)) / (2.0 * (q - j))
+            hidden = s <= z[r, top[r]]
+            top[r[hidden]] -= 1
+            todo = todo[hidden]
+        top[rows] += 1
+        v[rows, top[rows]], z[rows, top[rows]] = q, start
     i = np.arange(n)
-    at = v[np.searchsorted(z[1 : k + 1], i, "left")]
-    return f[at] + (i - at) ** 2, at
+    at = np.full((m, n), -1)
+    for r in np.flatnonzero(top >= 0):
+        at[r] = v[r, np.searchsorted(z[r, 1 : top[r] + 1], i, "left")]
+    least = np.take_along_axis(f, np.maximum(at, 0), axis=1) + (i - at) ** 2
+    return np.where(at < 0, np.inf, least), at
 
 
 def distance(cells: DataFrame, seed: Column, name: str = "d") -> DataFrame:
@@ -54,16 +63,12 @@ def distance(cells: DataFrame, seed: Column, name: str = "d") -> DataFrame:
     def run(band: pd.DataFrame) -> pd.DataFrame:
         band = band.sort_values(["r", "c"])
         r, c, sr = band["r"].to_numpy(), band["c"].to_numpy(), band["sr"].to_numpy(dtype=float, na_value=np.nan)
-        d, seed_r, seed_c = np.full(len(r), np.nan), np.full(len(r), np.nan), np.full(len(r), np.nan)
-        ends = np.r_[np.flatnonzero(np.diff(r)) + 1, len(r)]
-        for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True):
-            at = c[a:b] - c[a]
-            f, up = np.full(at[-1] + 1, np.inf), np.full(at[-1] + 1, np.nan)
-            f[at] = np.where(np.isnan(sr[a:b]), np.inf, (sr[a:b] - r[a]) ** 2)
-            up[at] = sr[a:b]
-            d2, j = lower_envelope(f)
-            if j[0] >= 0:
-                d[a:b], seed_r[a:b], seed_c[a:b] = np.sqrt(d2[at]), up[j[at]], j[at] + c[a]
+        row, col = r - r[0], c - c.min()
+        f, up = np.full((row[-1] + 1, col.max() + 1), np.inf), np.full((row[-1] + 1, col.max() + 1), np.nan)
+        f[row, col], up[row, col] = np.where(np.isnan(sr), np.inf, (sr - r) ** 2), sr
+        d2, j = lower_envelopes(f)
+        d2, j = d2[row, col], j[row, col]
+        d, seed_r, seed_c = (np.where(j < 0, np.nan, x) for x in (np.sqrt(d2), up[row, np.maximum(j, 0)], j + c.min()))
         return pd.DataFrame({"r": r, "c": c, name: d, "seed_r": seed_r, "seed_c": seed_c}).astype({"seed_r": "Int32", "seed_c": "Int32", "r": "int32", "c": "int32"})
 
     out = near.groupBy(F.floor(F.col("r") / F.lit(rows))).applyInPandas(run, f"r int, c int, {name} double, seed_r int, seed_c int")

@@ -119,7 +119,10 @@ def gaussian_kernel(sigma: float, reach: float = 4.0) -> np.ndarray:
 
 
 def gaussian(cells: DataFrame, column: str, sigma: float, name: str = "blurred", size: int = SIZE) -> DataFrame:
-    """(r, c, name): Gaussian blur of a dense grid; at its edges the grid is mirrored (edge cells twice)."""
+    """(r, c, name): Gaussian blur of a dense grid; at its edges the grid is mirrored (edge cells twice).
+
+    Blocks are at least as long as two margins, so that a cell is sent to four blocks at most, however broad the blur.
+    """
     if sigma <= 0:
         return cells.select("r", "c", F.col(column).cast("double").alias(name))
     h, w = extent(cells)
@@ -138,7 +141,7 @@ def gaussian(cells: DataFrame, column: str, sigma: float, name: str = "blurred",
         a = sum(x * np.roll(a, k - i, axis=0) for i, x in enumerate(kernel))
         return sum(x * np.roll(a, k - i, axis=1) for i, x in enumerate(kernel))
 
-    return over_blocks(cells, [column], name, rule, 2 * k, size)
+    return over_blocks(cells, [column], name, rule, k, max(size, 2 * k))
 
 
 def erosion_step(cells: DataFrame, column: str, talus: float = 4.0, rate: float = 0.1, name: str = "eroded") -> DataFrame:

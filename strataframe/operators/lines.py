@@ -130,7 +130,7 @@ def grown_ridges(axes: DataFrame, generations: int = 3, spur_interval: float = 2
 
 def points_along(lines: DataFrame, at: Column, name: str = "p") -> DataFrame:
     """lines (geom) and the point so far along each: its first point before it, its last one beyond it; null without points."""
-    step = F.expr("transform(sequence(1, greatest(size(geom) - 1, 1)), i -> coalesce(sqrt(power(geom[i].x - geom[i - 1].x, 2) + power(geom[i].y - geom[i - 1].y, 2)), 0D))")
+    step = F.expr("transform(sequence(1, greatest(size(geom) - 1, 1)), i -> coalesce(sqrt(power(get(geom, i).x - get(geom, i - 1).x, 2) + power(get(geom, i).y - get(geom, i - 1).y, 2)), 0D))")
     far = F.aggregate("step", F.lit(0.0), lambda s, x: s + x)
     so = F.greatest(F.lit(0.0), F.least(F.col("__at"), far))
     point = F.when(F.size("geom") > 1, _along(so)).otherwise(F.expr("get(geom, 0)"))

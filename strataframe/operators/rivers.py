@@ -80,6 +80,7 @@ def upstream(edges: DataFrame, seeds: DataFrame, stops: DataFrame | None = None,
     both = cut(edges.select("edge_id", F.col("u").alias("a"), F.col("v").alias("b")).unionByName(edges.select("edge_id", F.col("v").alias("a"), F.col("u").alias("b"))).where("a <> b"))
     kind = dict(edges.dtypes)["u"]
     found = cut(seeds.select("node").distinct().select("node", F.lit(0).alias("level"), F.lit(None).cast(kind).alias("down"), F.lit(None).cast(dict(edges.dtypes)["edge_id"]).alias("edge_id")))
+    held = [] if stops is None else [cut(found.select("node").join(stops.select("node"), "node", "left_semi"))]
     levels, last, front, level = [found], None, found, 0
     while True:
         level += 1
@@ -89,11 +90,14 @@ def upstream(edges: DataFrame, seeds: DataFrame, stops: DataFrame | None = None,
         if visited is not None:
             step = step.join(visited.select(F.col("node").alias("b")), "b", "left_anti")
         if stops is not None and level > 1:  # a stop that was reached earlier may be met again from any later level
-            step = step.join(cut(_all(levels).select("node").join(stops.select("node"), "node", "left_semi")).withColumnRenamed("node", "b"), "b", "left_anti")
+            step = step.join(_all(held).withColumnRenamed("node", "b"), "b", "left_anti")
         last, front = front, cut(first_by(step, ["b"], ["a", "edge_id"]).select(F.col("b").alias("node"), F.lit(level).alias("level"), F.col("a").alias("down"), "edge_id"))
         if not front.take(1):
             break
         levels.append(front)
+        if stops is not None:
+            held.append(cut(front.select("node").join(stops.select("node"), "node", "left_semi")))
+            held = [cut(_all(held))] if len(held) > 32 else held
         if len(levels) > 32:  # fewer tables to union
             levels = [cut(_all(levels[:-1])), front]
     return _all(levels)

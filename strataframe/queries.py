@@ -981,12 +981,11 @@ def floats_sink(spark, d):
     return back.select("r", "c", (F.round(F.col("elev").cast("double"), 4) + F.lit(0.0)).alias("elev"))
 
 
-@query(with_(X) + "select id, case when v % 3 = 0 then 1 else v end epoch, 1000.0::double base_amplitude, case when v % 2 = 0 then 10.0::double else v / 2.0::double end width_limit, 0 generation from rect")
+@query(with_(X) + "select c0 + 0.5::double x, r0 + 0.5::double y, case when v % 3 = 0 then 1 else v end epoch, 1000.0::double base_amplitude, case when v % 2 = 0 then 10.0::double else v / 2.0::double end width_limit, 0 generation from rect")
 def ingest_axes(spark, d):
     """Ridge axes with gaps in some columns and one column missing."""
-    axes = V.diagonals(spark, d).select("geom", "id", F.when(F.col("v") % 3 != 0, F.col("v")).alias("oe_epoch"), F.when(F.col("v") % 2 != 0, F.col("v") / 2.0).alias("width_km"))
-    at = scans.ingest_axes(axes).withColumn("place", F.col("geom"))
-    return at.join(axes.select("id", F.col("geom").alias("place")), "place").select("id", "epoch", "base_amplitude", "width_limit", "generation")
+    axes = V.diagonals(spark, d).select("geom", F.when(F.col("v") % 3 != 0, F.col("v")).alias("oe_epoch"), F.when(F.col("v") % 2 != 0, F.col("v") / 2.0).alias("width_km"))
+    return scans.ingest_axes(axes).select(F.expr("geom[0].x").alias("x"), F.expr("geom[0].y").alias("y"), "epoch", "base_amplitude", "width_limit", "generation")
 
 
 @query(with_(X) + "select id, round((c0 + 0.5::double) * 30 + 5, 6) + 0.0 x, round((r0 + 0.5::double) * -30 + 7, 6) + 0.0 y, 'EPSG:32632' crs from rect")

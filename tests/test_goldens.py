@@ -112,6 +112,32 @@ def test_prune(spark):
     assert {(x["u"], x["v"]) for x in rivers.pruned(edges, 5.0).collect()} == {("A", "B"), ("B", "C")}
 
 
+def test_envelopes_of_many_rows_against_all_pairs():
+    from strataframe.operators.distance import lower_envelopes
+
+    chance = np.random.default_rng(1)
+    for _ in range(200):
+        m, n = chance.integers(1, 6), chance.integers(1, 30)
+        f = chance.integers(0, 40, (m, n)).astype(float) ** 2
+        f[chance.random((m, n)) < 0.6] = np.inf
+        i = np.arange(n)
+        whole = f[:, None, :] + (i[:, None] - i[None, :]) ** 2
+        least, at = lower_envelopes(f)
+        assert (least == whole.min(2)).all() and (at == np.where(np.isfinite(whole.min(2)), whole.argmin(2), -1)).all()
+
+
+def test_greatest_cut_and_units(spark):
+    cells = spark.createDataFrame([(0, 0, 10, 4), (0, 1, 7, 7), (1, 0, None, 3)], "r int, c int, a int, b int")
+    assert tuple(zonal.greatest_cut(cells, "a", "b").first()) == (6, 3.0)
+
+
+def test_points_along_ends_and_short_lines(spark):
+    rows = [(1, [(0.0, 0.0), (3.0, 4.0)], 2.5), (2, [(0.0, 0.0), (3.0, 4.0)], 99.0), (3, [(0.0, 0.0), (3.0, 4.0)], -1.0), (4, [(7.0, 8.0)], 1.0), (5, [], 1.0)]
+    at = spark.createDataFrame(rows, "id int, geom array<struct<x:double,y:double>>, so double")
+    got = {r["id"]: r["p"] and tuple(r["p"]) for r in lines.points_along(at, F.col("so")).collect()}
+    assert got == {1: (1.5, 2.0), 2: (3.0, 4.0), 3: (0.0, 0.0), 4: (7.0, 8.0), 5: None}
+
+
 def test_distance_is_exact(spark):
     rng = np.random.RandomState(1)
     seeds = rng.rand(13, 17) < 0.06
