@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import cut
+from ..sources.store import cut, tidied
 from .focal import shore
 
 
+@tidied
 def components(cells: DataFrame, mask: Column, corners: bool = False, name: str = "label") -> DataFrame:
     """(r, c, label) of the mask's cells; label: the least r * 2^32 + c of the component (sides, or corners too).
 
@@ -28,6 +29,7 @@ def components(cells: DataFrame, mask: Column, corners: bool = False, name: str
     return runs.join(groups, runs["run"] == groups["id"], "left").select("r", "c", F.coalesce("root", "run").alias(name))
 
 
+@tidied
 def contracted(links: DataFrame) -> DataFrame:
     """links (u, v) -> (id, root): the least id that each is connected with."""
     edges = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())

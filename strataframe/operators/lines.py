@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.noise import M
-from ..sources.store import cut
+from ..sources.store import cut, tidied
 from .blocks import SIZE, over_blocks
 from .components import components
 from .distance import distance
@@ -102,6 +102,7 @@ def _uniform(*keys: Column) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(M)) / F.lit(float(M))
 
 
+@tidied
 def grown_ridges(axes: DataFrame, generations: int = 3, spur_interval: float = 20.0, spur_length: float = 50.0, lookahead: float = 5.0) -> DataFrame:
     """(id, geom, epoch, base_amplitude, width_limit, generation): ridge axes and spurs of spurs.
 
@@ -179,6 +180,7 @@ def thinned(image: np.ndarray, passes: int) -> np.ndarray:
     return a
 
 
+@tidied
 def skeleton(cells: DataFrame, mask: Column, per_shuffle: int = 16, size: int = SIZE) -> DataFrame:
     """(r, c) of the mask's centre lines, one cell wide: thinned until a pass changes nothing. Each pass looks two cells far; blocks have that margin for each pass taken at once."""
     out = cells.select("r", "c", F.coalesce(mask, F.lit(False)).cast("double").alias("m"))
@@ -207,6 +209,7 @@ def skeleton_edges(thin: DataFrame) -> DataFrame:
     return both.select(name(F.col("r0"), F.col("c0")).alias("u"), name(F.col("r"), F.col("c")).alias("v"), "len")
 
 
+@tidied
 def centre_lines(cells: DataFrame, mask: Column, gap: float = 1.0, prune: float = 5.0, passes: int = 100) -> DataFrame:
     """(u, v, len) of a wet area's network: gaps bridged, thinned, short dead ends pruned."""
     from .rivers import pruned

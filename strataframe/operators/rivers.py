@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import algebra as A
-from ..sources.store import cut
+from ..sources.store import cut, tidied
 from .raster import BAND, banded, first_by, inside
 
 
@@ -69,6 +69,7 @@ def anchors(edges: DataFrame, wet: DataFrame) -> DataFrame:
     return one.select("edge_id", F.when(F.col("wu"), F.col("v")).otherwise(F.col("u")).alias("land"), F.when(F.col("wu"), F.col("u")).otherwise(F.col("v")).alias("water"))
 
 
+@tidied
 def upstream(edges: DataFrame, seeds: DataFrame, stops: DataFrame | None = None, visited: DataFrame | None = None) -> DataFrame:
     """(node, level, down, edge_id): for each node reached from the seeds (node), its way down.
 
@@ -110,6 +111,7 @@ def _all(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
+@tidied
 def oriented(edges: DataFrame, nodes: DataFrame, sea: DataFrame, lakes: DataFrame | None = None) -> DataFrame:
     """(edge_id, source, target): edges as water flows. First up from the sea, lakes not passed; then once up from lakes that were reached."""
     legs = anchors(edges, sea)
@@ -130,6 +132,7 @@ def reoriented(edges: DataFrame, direction: DataFrame) -> DataFrame:
     return at.withColumn("flipped", ~(d("x0", "y0") < d("x1", "y1")))
 
 
+@tidied
 def flow(edges: DataFrame) -> DataFrame:
     """(node, flow, strahler, level) of a directed acyclic network (source, target).
 
@@ -160,6 +163,7 @@ def flow(edges: DataFrame) -> DataFrame:
     return _all(done)
 
 
+@tidied
 def cyclic_edges(edges: DataFrame) -> DataFrame:
     """Edges (source, target) that are on a cycle or lie between cycles: what is left when sources and sinks are peeled off."""
     e = cut(edges.select("source", "target"))
@@ -173,6 +177,7 @@ def cyclic_edges(edges: DataFrame) -> DataFrame:
     return e
 
 
+@tidied
 def without_cycles(edges: DataFrame) -> DataFrame:
     """edges (source, target) with one edge of each cycle removed, the largest of what peeling leaves, until none is left."""
     out = edges
@@ -217,6 +222,7 @@ def gaps(edges: DataFrame, tolerance: float = 1.0) -> DataFrame:
     return a.join(b, "node").withColumn("gap", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).where(F.col("gap") > tolerance).select("a", "b", "gap")
 
 
+@tidied
 def pruned(edges: DataFrame, least: float, passes: int = 100) -> DataFrame:
     """edges (u, v, len) without short dead ends: edges with an end of degree 1 and a length under least go, again and again."""
     out = edges

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _temporary: dict[str, str] = {}
+_scopes = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,10 +29,42 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back."""
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    if open_scopes := getattr(_scopes, "open", None):
+        open_scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidied(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose result is cut, after which all tables that it cut on its way are deleted, also if it fails.
+
+    What is left in the shared folder is one table a result; within another tidied operator it goes with that one's.
+    """
+
+    @functools.wraps(operator)
+    def run(first: DataFrame, *args, **named) -> DataFrame:
+        spark = first.sparkSession
+        scopes = _scopes.__dict__.setdefault("open", [])
+        mine: list[str] = []
+        scopes.append(mine)
+        try:
+            try:
+                out = operator(first, *args, **named)
+            finally:
+                scopes.pop()
+            return cut(out)
+        finally:
+            for path in mine:
+                _delete(spark, path)
+
+    return run
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

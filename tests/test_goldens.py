@@ -271,3 +271,24 @@ def test_water_over_several_squares(spark):
 
 def test_distance_mode_is_the_nearest_distance():
     assert N.MODES["Distance"] is N.cellular and N.MODES["Distance2Sub"] is N.ridge_distance
+
+
+def test_tidied_leaves_one_table_also_after_a_fault(spark):
+    from pathlib import Path
+
+    folder = Path(store.shared_folder(spark).removeprefix("file://"))
+    there = lambda: {x.name for x in folder.glob("cut-*")}
+    edges = spark.createDataFrame([(1, 2, 1), (2, 3, 2), (3, 4, 3)], "u long, v long, edge_id int")
+    before = there()
+    walk = rivers.upstream(edges, spark.createDataFrame([(4,)], "node long"))
+    assert len(there() - before) == 1 and walk.count() == 4
+
+    @store.tidied
+    def faulty(df):
+        store.cut(df)
+        raise ValueError("fault")
+
+    before = there()
+    with pytest.raises(ValueError):
+        faulty(edges)
+    assert there() == before and walk.count() == 4
