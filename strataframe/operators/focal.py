@@ -17,6 +17,19 @@ def _along() -> WindowSpec:
     return Window.partitionBy("r").orderBy("c")
 
 
+def _so_far(w: WindowSpec) -> WindowSpec:
+    """Rows up to the current one: linear, which frames from the current row to the end are not (Spark sums each anew)."""
+    return w.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _up() -> WindowSpec:
+    return Window.partitionBy("c").orderBy(F.desc("r"))
+
+
+def _back() -> WindowSpec:
+    return Window.partitionBy("r").orderBy(F.desc("c"))
+
+
 def neighbours(cells: DataFrame, column: str) -> DataFrame:
     """cells of a dense grid and the column of the four cells around: north, south, west, east (null beyond the grid)."""
     at = lambda f, w: f(column).over(w)
@@ -55,16 +68,15 @@ def step_distance(cells: DataFrame, seed: Column, border: bool = False) -> DataF
     Two passes of windows: along columns to the nearest seed above and below, then along rows.
     """
     first = cells.withColumn("__at", F.when(seed, F.col("r")))
-    above = F.last("__at", True).over(_down().rowsBetween(Window.unboundedPreceding, 0))
-    below = F.first("__at", True).over(_down().rowsBetween(0, Window.unboundedFollowing))
+    above, below = (F.last("__at", True).over(_so_far(w)) for w in (_down(), _up()))
     far = 1 << 30
     dv = F.least(F.coalesce(F.col("r") - above, F.lit(far)), F.coalesce(below - F.col("r"), F.lit(far)))
     if border:
         h, w = extent(cells)
         dv = F.least(dv, F.col("r") + 1, F.lit(h) - F.col("r"))
     second = first.withColumn("__dv", dv)
-    left = F.min(F.col("__dv") - F.col("c")).over(_along().rowsBetween(Window.unboundedPreceding, 0)) + F.col("c")
-    right = F.min(F.col("__dv") + F.col("c")).over(_along().rowsBetween(0, Window.unboundedFollowing)) - F.col("c")
+    left = F.min(F.col("__dv") - F.col("c")).over(_so_far(_along())) + F.col("c")
+    right = F.min(F.col("__dv") + F.col("c")).over(_so_far(_back())) - F.col("c")
     steps = F.least(left, right)
     if border:
         steps = F.least(steps, F.col("c") + 1, F.lit(w) - F.col("c"))
