@@ -34,7 +34,7 @@ def test_step_distance_of_long_columns(spark):
 
 
 #: Queries whose plans may hold no frame from the current row to the end.
-LINEAR = ["active_mask", "closing_fill"]
+LINEAR = ["active_mask", "closing_fill", "erode_l1_sink"]
 
 
 @pytest.mark.parametrize("name", LINEAR)
