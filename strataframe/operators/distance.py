@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import algebra as A
 from .blocks import extent
-from .focal import _down
+from .focal import _down, _so_far, _up
 from .resample import bilinear, strided
 
 #: Cells of the rows that are handled together in the second pass.
@@ -53,8 +53,7 @@ def distance(cells: DataFrame, seed: Column, name: str = "d") -> DataFrame:
     envelope of parabolas, linear in the row's length. Of seeds at one distance the upper and left one is named.
     """
     first = cells.select("r", "c", F.when(seed, F.col("r")).alias("at"))
-    above = F.last("at", True).over(_down().rowsBetween(Window.unboundedPreceding, 0))
-    below = F.first("at", True).over(_down().rowsBetween(0, Window.unboundedFollowing))
+    above, below = (F.last("at", True).over(_so_far(w)) for w in (_down(), _up()))
     near = first.select("r", "c", above.alias("a"), below.alias("b"))
     near = near.select("r", "c", F.expr("case when a is null then b when b is null then a when r - a <= b - r then a else b end").alias("sr"))
 

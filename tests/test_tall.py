@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strataframe import queries as core
 from strataframe.operators import focal
+from strataframe.operators.distance import distance
 
 HEIGHT = 40_000
 
@@ -33,8 +34,17 @@ def test_step_distance_of_long_columns(spark):
     assert got["steps"].tolist() == np.stack([up, up + 1], axis=1).ravel().tolist()
 
 
+def test_distance_of_long_columns(spark):
+    got = _within(12, distance(_tall(spark), F.col("seed")))
+    r = np.arange(HEIGHT)
+    up = np.abs(r[:, None] - np.arange(500, HEIGHT, 1000)).min(axis=1)
+    assert np.allclose(got["d"], np.stack([up, np.hypot(up, 1)], axis=1).ravel())
+    assert (np.abs(got["seed_r"] - got["r"]) == np.repeat(up, 2)).all()
+    assert (got["seed_c"] == 0).all()
+
+
 #: Queries whose plans may hold no frame from the current row to the end.
-LINEAR = ["active_mask", "closing_fill", "erode_l1_sink"]
+LINEAR = ["active_mask", "closing_fill", "erode_l1_sink", "edt"]
 
 
 @pytest.mark.parametrize("name", LINEAR)
