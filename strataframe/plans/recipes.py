@@ -114,25 +114,27 @@ class Recipe:
     def build(self, cells: DataFrame, elevation: str = "elev") -> DataFrame:
         """cells with the layers applied to the elevation, in order.
 
-        Layers with masks by altitude or without are narrow; a feature mask and a warp add one distance each.
+        Layers with masks by altitude or without are narrow; a warp, and the feature masks of one column, add one distance.
         """
         out = cells.withColumns({"__x": F.col("c").cast("double"), "__y": F.col("r").cast("double")})
-        for k, layer in enumerate(self.layers):
-            out = self._apply(out, layer, elevation, k)
-        return out.drop("__x", "__y")
+        masks = [getattr(layer, "mask", None) for layer in self.layers]
+        features = list(dict.fromkeys(m.column for m in masks if isinstance(m, FeatureMask) and m.column in cells.columns))
+        far = {column: f"__d{k}" for k, column in enumerate(features)}  # layers change the elevation, not where features are
+        for column, d in far.items():
+            out = out.join(D.distance(cells, F.col(column), d).select("r", "c", d), ["r", "c"])
+        for layer in self.layers:
+            out = self._apply(out, layer, elevation, far)
+        return out.drop("__x", "__y", *far.values())
 
     @staticmethod
-    def _weight(cells: DataFrame, mask: Mask, elevation: str, k: int) -> tuple[DataFrame, Column]:
+    def _weight(mask: Mask, elevation: str, far: dict[str, str]) -> Column:
         if mask is None:
-            return cells, F.lit(1.0)
+            return F.lit(1.0)
         if isinstance(mask, AltitudeMask):
-            return cells, A.altitude_weight(F.col(elevation), mask.least, mask.fade)
-        if mask.column not in cells.columns:
-            return cells, F.lit(0.0)
-        d = D.distance(cells, F.col(mask.column), f"__d{k}").select("r", "c", f"__d{k}")
-        return cells.join(d, ["r", "c"]), F.coalesce(A.distance_weight(F.col(f"__d{k}"), mask.reach, mask.invert), F.lit(float(mask.invert)))
+            return A.altitude_weight(F.col(elevation), mask.least, mask.fade)
+        return F.coalesce(A.distance_weight(F.col(far[mask.column]), mask.reach, mask.invert), F.lit(float(mask.invert)))
 
-    def _apply(self, cells: DataFrame, layer: Layer, elevation: str, k: int) -> DataFrame:
+    def _apply(self, cells: DataFrame, layer: Layer, elevation: str, far: dict[str, str]) -> DataFrame:
         x, y = F.col("__x"), F.col("__y")
         columns = cells.columns
         if isinstance(layer, RiverWarpLayer):
@@ -148,6 +150,9 @@ class Recipe:
             reach = F.when(F.col(elevation) - layer.level > layer.cliff_height, F.lit(layer.cliff)).otherwise(F.lit(layer.beach))
             weight = F.coalesce(A.smoothstep(F.col("__d") / reach), F.lit(1.0))
             return cells.join(at, ["r", "c"]).withColumn(elevation, F.lit(layer.level) + (F.col(elevation) - layer.level) * weight).select(columns)
+        mask = getattr(layer, "mask", None)
+        if isinstance(mask, FeatureMask) and mask.column not in far:  # weighs nothing in
+            return cells.withColumn(elevation, F.col(elevation) + F.lit(0.0))
         stage = N.Stage(cells)
         if isinstance(layer, FractalLayer):
             f = 1.0 / max(layer.scale, 1e-4)
@@ -159,8 +164,8 @@ class Recipe:
             noise = N.generated(stage, layer.kind, x, y, layer.frequency, layer.seed, layer.perturb)
         else:
             raise TypeError(f"unknown layer: {type(layer).__name__}")
-        cells, weight = self._weight(stage.end(__noise=noise), layer.mask, elevation, k)
-        return cells.withColumn(elevation, F.col(elevation) + F.col("__noise") * F.lit(layer.amplitude) * weight).select(columns)
+        weight = self._weight(mask, elevation, far)
+        return stage.end(__noise=noise).withColumn(elevation, F.col(elevation) + F.col("__noise") * F.lit(layer.amplitude) * weight).select(columns)
 
 
 def tectonic_pass(
