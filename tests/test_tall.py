@@ -44,7 +44,7 @@ def test_distance_of_long_columns(spark):
 
 
 #: Queries whose plans may hold no frame from the current row to the end.
-LINEAR = ["active_mask", "closing_fill", "erode_l1_sink", "edt", "sdf", "coastal_taper", "ramp", "feature_mask", "roughen_mask", "fractal_mask"]
+LINEAR = ["active_mask", "closing_fill", "erode_l1_sink", "edt", "sdf", "coastal_taper", "ramp", "feature_mask", "roughen_mask", "fractal_mask", "smooth_mask"]
 
 
 @pytest.mark.parametrize("name", LINEAR)
