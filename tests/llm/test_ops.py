@@ -733,3 +733,30 @@ def test_digests(spark, sf, docs):
     row = llm.QUERIES["op8_suffix_dedup"](spark, sf).where("n_removed = 0").first()
     text = docs.where(F.col("doc_id") == row["doc_id"]).first()["text"]
     assert row["kept_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_pairs_of_a_large_bucket_are_all_compared(spark, monkeypatch):
+    from strataframe.llm import graph
+
+    monkeypatch.setattr(graph, "DEALT", 100)
+    buckets = spark.range(600).select(F.lit(1).cast("long").alias("key"), "id", F.lit(0).alias("sig"))
+    found = graph.linked_groups(buckets, lambda pairs: pairs.where("b = a + 300"), few_first=True)
+    assert sorted(map(tuple, found.select("id", "comp").collect())) == [(i, i % 300) for i in range(600)]
+
+
+def test_lines_alike_in_a_large_bucket_of_unlike_ones_are_found(spark):
+    """300 lines that share three words, in pairs that differ in one letter: few leaders would miss most."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 9))
+    lines = [" ".join(["alpha", "beta", "gamma", *(word() for _ in range(3))]) for _ in range(150)]
+    rows = [(2 * i, x) for i, x in enumerate(lines)] + [(2 * i + 1, x[:-1] + "y") for i, x in enumerate(lines)]
+    texts = spark.createDataFrame([(i, f"r{i}", x, x, i * 0 + 6) for i, x in rows], "id long, g0 string, norm string, u string, n int")
+    texts = texts.select("id", F.xxhash64("g0").alias("g"), "n", "norm", F.expr(line_dedup._CODES).alias("codes"), F.xxhash64(F.lit("")).alias("digits"))
+    met = spark.createDataFrame([(7, i) for i, _ in rows], "key long, id long")
+    groups = line_dedup._groups(texts, met, 0.85)
+    got = {r["h"]: r["comp"] for r in groups.collect()}
+    near = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(150)], "a long, b long")
+    sigs = line_dedup.simhashes(texts)
+    bits = {(r["a"], r["b"]) for r in near.join(sigs.withColumnsRenamed({"id": "a", "sig": "x"}), "a").join(sigs.withColumnsRenamed({"id": "b", "sig": "y"}), "b").where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= line_dedup.FEW_DISTANCE).select("a", "b").collect()}
+    assert len(bits) > 30
+    assert all(got.get(a, -1) == got.get(b, -2) for a, b in bits)
