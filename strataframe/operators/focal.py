@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .blocks import SIZE, extent, over_blocks
+from .blocks import SIZE, extent, mask_over_blocks, over_blocks
 
 
 def _down() -> WindowSpec:
@@ -83,20 +83,38 @@ def step_distance(cells: DataFrame, seed: Column, border: bool = False) -> DataF
     return second.withColumn("steps", F.when(steps < far // 2, steps)).drop("__at", "__dv")
 
 
+def _near(seeds: np.ndarray, steps: int) -> np.ndarray:
+    """Whether a cell is within so many city-block steps of a seed."""
+    d = np.where(seeds, 0, 1 << 30)
+    for axis in (0, 1):
+        d = np.moveaxis(d, axis, 0)
+        i = np.arange(len(d))[:, None]
+        ahead, back = np.minimum.accumulate(d - i, axis=0) + i, np.minimum.accumulate((d + i)[::-1], axis=0)[::-1] - i
+        d = np.moveaxis(np.minimum(ahead, back), 0, axis)
+    return d <= steps
+
+
+def _far_from_outside(a: np.ndarray, there: np.ndarray, r0: int, c0: int, h: int, w: int, steps: int) -> np.ndarray:
+    """What of a is further than so many steps from cells outside it and from all that lies beyond a grid of h and w."""
+    r, c = np.arange(r0, r0 + len(a))[:, None], np.arange(c0, c0 + a.shape[1])
+    beyond = (r < 0) | (r >= h) | (c < 0) | (c >= w)
+    return a & ~_near((there & ~a) | beyond, steps)
+
+
 def eroded(cells: DataFrame, mask: Column, steps: int, name: str = "eroded") -> DataFrame:
     """cells and a mask without what is within so many steps of its outside; beyond the grid is outside."""
-    at = cells.withColumn("__m", F.coalesce(mask, F.lit(False)))
-    return step_distance(at, ~F.col("__m"), border=True).withColumn(name, F.col("__m") & (F.col("steps") > steps)).drop("__m", "steps")
+    h, w = extent(cells)
+    return mask_over_blocks(cells, mask, lambda a, there, r0, c0: _far_from_outside(a, there, r0, c0, h, w, steps), steps, name)
 
 
 def dilated(cells: DataFrame, mask: Column, steps: int, name: str = "dilated") -> DataFrame:
-    return step_distance(cells, F.coalesce(mask, F.lit(False)), border=False).withColumn(name, F.coalesce(F.col("steps") <= steps, F.lit(False))).drop("steps")
+    return mask_over_blocks(cells, mask, lambda a, there, r0, c0: _near(a, steps), steps, name)
 
 
 def closed(cells: DataFrame, mask: Column, steps: int = 2, name: str = "closed") -> DataFrame:
-    """Dilation and then erosion: small gaps fill; cells of the mask stay."""
-    wide = dilated(cells.withColumn("__own", F.coalesce(mask, F.lit(False))), F.col("__own"), steps, "__wide")
-    return eroded(wide, F.col("__wide"), steps, name).withColumn(name, F.col(name) | F.col("__own")).drop("__wide", "__own")
+    """Dilation and then erosion: small gaps fill; cells of the mask stay. Blocks have a margin for both."""
+    h, w = extent(cells)
+    return mask_over_blocks(cells, mask, lambda a, there, r0, c0: a | _far_from_outside(_near(a, steps) & there, there, r0, c0, h, w, steps), 2 * steps, name)
 
 
 def sink_strip(cells: DataFrame, active: Column, steps: int = 10) -> DataFrame:
