@@ -3,18 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import algebra as A
-from .blocks import extent
-from .focal import _down, _so_far, _up
+from .blocks import extent, over_bands
 from .resample import bilinear, strided
 
-#: Cells of the rows that are handled together in the second pass.
-BAND_CELLS = 1 << 20
-
 
 def lower_envelopes(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row of f: min over j of f[j] + (i - j)^2 for all i, and the j that has it (the least one); f may be infinite.
@@ -46,46 +42,58 @@ def lower_envelopes(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(at < 0, np.inf, least), at
 
 
-def distance(cells: DataFrame, seed: Column, name: str = "d") -> DataFrame:
-    """(r, c, d, seed_r, seed_c): distance in cells to the nearest seed, and that seed; null where the grid has none.
+def distances(seeds: np.ndarray) -> np.ndarray:
+    """For each cell of a mask the distance to the nearest seed; infinite without one."""
+    r = np.arange(len(seeds), dtype=float)[:, None]
+    above = np.maximum.accumulate(np.where(seeds, r, -np.inf), axis=0)
+    below = np.minimum.accumulate(np.where(seeds, r, np.inf)[::-1], axis=0)[::-1]
+    return np.sqrt(lower_envelopes(np.minimum(r - above, below - r) ** 2)[0])
+
 
-    Pass 1, windows along columns: nearest seed above or below. Pass 2, rows of the grid: lower
-    envelope of parabolas, linear in the row's length. Of seeds at one distance the upper and left one is named.
+def with_distances(cells: DataFrame, **seeds: Column) -> DataFrame:
+    """cells and for each name the distance in cells to the nearest of its seeds, and that seed's <name>_r and <name>_c; null where the grid has none.
+
+    Pass 1, columns of the grid: nearest seed above or below. Pass 2, rows: lower envelope of parabolas, linear in
+    the row's length. Both in one shuffle of the cells. Of seeds at one distance the upper and left one is named.
     """
-    first = cells.select("r", "c", F.when(seed, F.col("r")).alias("at"))
-    above, below = (F.last("at", True).over(_so_far(w)) for w in (_down(), _up()))
-    near = first.select("r", "c", above.alias("a"), below.alias("b"))
-    near = near.select("r", "c", F.expr("case when a is null then b when b is null then a when r - a <= b - r then a else b end").alias("sr"))
 
-    rows = max(1, min(256, BAND_CELLS // max(1, extent(cells)[1])))
+    names = list(seeds)
+
+    def rule(*found) -> dict[str, np.ndarray]:
+        *rows, r0, c0 = found
+        out = {}
+        for name, up in zip(names, rows, strict=True):
+            least, j = lower_envelopes((up - np.arange(r0, r0 + len(up))[:, None]) ** 2)
+            none = j < 0
+            out |= {name: np.where(none, np.nan, np.sqrt(least)), f"{name}_r": np.where(none, np.nan, np.take_along_axis(up, np.maximum(j, 0), axis=1)), f"{name}_c": np.where(none, np.nan, j + c0)}
+        return out
 
-    def run(band: pd.DataFrame) -> pd.DataFrame:
-        band = band.sort_values(["r", "c"])
-        r, c, sr = band["r"].to_numpy(), band["c"].to_numpy(), band["sr"].to_numpy(dtype=float, na_value=np.nan)
-        row, col = r - r[0], c - c.min()
-        f, up = np.full((row[-1] + 1, col.max() + 1), np.inf), np.full((row[-1] + 1, col.max() + 1), np.nan)
-        f[row, col], up[row, col] = np.where(np.isnan(sr), np.inf, (sr - r) ** 2), sr
-        d2, j = lower_envelopes(f)
-        d2, j = d2[row, col], j[row, col]
-        d, seed_r, seed_c = (np.where(j < 0, np.nan, x) for x in (np.sqrt(d2), up[row, np.maximum(j, 0)], j + c.min()))
-        return pd.DataFrame({"r": r, "c": c, name: d, "seed_r": seed_r, "seed_c": seed_c}).astype({"seed_r": "Int32", "seed_c": "Int32", "r": "int32", "c": "int32"})
+    kinds = [T.StructField(f"{name}{x}", kind) for name in names for x, kind in (("", T.DoubleType()), ("_r", T.IntegerType()), ("_c", T.IntegerType()))]
+    return over_bands(cells, list(seeds.values()), rule, kinds)
 
-    out = near.groupBy(F.floor(F.col("r") / F.lit(rows))).applyInPandas(run, f"r int, c int, {name} double, seed_r int, seed_c int")
-    return out.withColumn(name, F.nanvl(F.col(name), F.lit(None).cast("double")))
+
+def distance(cells: DataFrame, seed: Column, name: str = "d") -> DataFrame:
+    """(r, c, d, seed_r, seed_c): distance in cells to the nearest seed, and that seed; null where the grid has none. See with_distances()."""
+    at = cells.select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), seed.alias("__m"))
+    return with_distances(at, __d=F.col("__m")).select("r", "c", F.col("__d").alias(name), F.col("__d_r").alias("seed_r"), F.col("__d_c").alias("seed_c"))
+
+
+def with_signed_distance(cells: DataFrame, inside: Column, name: str = "sdf") -> DataFrame:
+    """cells and the distance to the mask from outside, minus the distance to its outside from within."""
+    at = cells.withColumn("__m", F.coalesce(inside, F.lit(False)))
+    both = with_distances(at, __o=F.col("__m"), __i=~F.col("__m"))
+    return both.withColumn(name, F.coalesce("__o", F.lit(0.0)) - F.coalesce("__i", F.lit(0.0))).select(*(x for x in cells.columns if x != name), name)
 
 
 def signed_distance(cells: DataFrame, inside: Column, name: str = "sdf") -> DataFrame:
-    """(r, c, sdf): distance to the mask from outside, minus the distance to its outside from within."""
-    at = cells.select("r", "c", F.coalesce(inside, F.lit(False)).alias("m"))
-    out, within = distance(at, F.col("m"), "o"), distance(at, ~F.col("m"), "i")
-    return out.select("r", "c", "o").join(within.select("r", "c", "i"), ["r", "c"]).select("r", "c", (F.coalesce("o", F.lit(0.0)) - F.coalesce("i", F.lit(0.0))).alias(name))
+    """(r, c, sdf) of with_signed_distance()."""
+    return with_signed_distance(cells.select("r", "c", inside.alias("__in")), F.col("__in"), name).select("r", "c", name)
 
 
 def taper(cells: DataFrame, sea: Column, reach: float, power: float = 2.0, name: str = "taper") -> DataFrame:
     """cells and a weight that grows from 0 at the sea to 1 at reach (in cells); 1 everywhere without a sea."""
-    d = distance(cells, sea).select("r", "c", "d")
-    weight = F.pow(A.clip(F.col("d") / F.lit(float(reach))), F.lit(float(power)))
-    return cells.join(d, ["r", "c"]).withColumn(name, F.coalesce(weight, F.lit(1.0))).drop("d")
+    weight = F.pow(A.clip(F.col("__d") / F.lit(float(reach))), F.lit(float(power)))
+    return with_distances(cells, __d=sea).withColumn(name, F.coalesce(weight, F.lit(1.0))).drop("__d", "__d_r", "__d_c")
 
 
 def coarse_taper(cells: DataFrame, sea: Column, reach: float, power: float = 2.0, step: int = 10, name: str = "taper") -> DataFrame:
@@ -98,24 +106,28 @@ def coarse_taper(cells: DataFrame, sea: Column, reach: float, power: float = 2.0
 
 def between_ramp(cells: DataFrame, mask: Column, low: Column, high: Column, name: str = "ramp") -> DataFrame:
     """cells and 0..1 across a mask: share of the distance from low cells in that to low and high cells; 0 outside."""
-    a, b = distance(cells, low, "dl").select("r", "c", "dl"), distance(cells, high, "dh").select("r", "c", "dh")
-    total = F.coalesce("dl", F.lit(0.0)) + F.coalesce("dh", F.lit(0.0))
-    share = F.coalesce("dl", F.lit(0.0)) / F.when(total == 0, F.lit(1.0)).otherwise(total)
-    return cells.join(a, ["r", "c"]).join(b, ["r", "c"]).withColumn(name, F.when(mask, share).otherwise(F.lit(0.0))).drop("dl", "dh")
+    dl, dh = (F.coalesce(x, F.lit(0.0)) for x in ("__dl", "__dh"))
+    share = dl / F.when(dl + dh == 0, F.lit(1.0)).otherwise(dl + dh)
+    at = with_distances(cells, __dl=low, __dh=high)
+    return at.withColumn(name, F.when(mask, share).otherwise(F.lit(0.0))).drop(*(f"__d{x}{y}" for x in "lh" for y in ("", "_r", "_c")))
 
 
 def warp_field(cells: DataFrame, river: Column, width: Column, strength: Column, reach: float) -> DataFrame:
     """cells, warp_x, warp_y, influence: a pull towards the nearest river cell that fades smoothly over reach * width."""
-    at = cells.withColumns({"__w": width, "__s": strength})
-    d = distance(cells, river)
-    t = F.lit(1.0) - F.col("d") / F.greatest(F.lit(float(reach)) * F.col("__w"), F.lit(0.001))
-    joined = at.join(d, ["r", "c"]).withColumn("influence", F.coalesce(A.smoothstep(t), F.lit(0.0)))
-    unit = lambda x, s: F.when(F.col("d") > 0, (F.col(s) - F.col(x)) / F.col("d")).otherwise(F.lit(0.0)) * F.col("influence") * F.col("__s")
-    return joined.withColumns({"warp_x": unit("c", "seed_c"), "warp_y": unit("r", "seed_r")}).drop("__w", "__s", "d", "seed_r", "seed_c")
+    at = with_distances(cells.withColumns({"__w": width, "__s": strength}), __d=river)
+    return warped(at, "__d", F.col("__w"), F.col("__s"), reach).drop("__w", "__s", "__d", "__d_r", "__d_c")
+
+
+def warped(cells: DataFrame, d: str, width: Column, strength: Column, reach: float) -> DataFrame:
+    """warp_field() of cells that have the distance d to a river, with d_r and d_c."""
+    t = F.lit(1.0) - F.col(d) / F.greatest(F.lit(float(reach)) * width, F.lit(0.001))
+    out = cells.withColumn("influence", F.coalesce(A.smoothstep(t), F.lit(0.0)))
+    unit = lambda x, s: F.when(F.col(d) > 0, (F.col(s) - F.col(x)) / F.col(d)).otherwise(F.lit(0.0)) * F.col("influence") * strength
+    return out.withColumns({"warp_x": unit("c", f"{d}_c"), "warp_y": unit("r", f"{d}_r")})
 
 
 def carve(cells: DataFrame, units: str, river: Column, scour: Column, name: str = "carved", **depth) -> DataFrame:
     """cells and the units with a channel carved where the river mask is set; deeper with the distance to its bank."""
-    d = distance(cells, ~F.coalesce(river, F.lit(False)), "bank").select("r", "c", "bank")
-    inside = F.when(F.coalesce(river, F.lit(False)), F.coalesce("bank", F.lit(0.0))).otherwise(F.lit(0.0))
-    return cells.withColumns({"__river": F.coalesce(river, F.lit(False)), "__scour": scour}).join(d, ["r", "c"]).withColumn(name, A.carved(F.col(units), inside, F.col("__scour"), **depth)).drop("bank", "__river", "__scour")
+    at = cells.withColumns({"__river": F.coalesce(river, F.lit(False)), "__scour": scour})
+    inside = F.when(F.col("__river"), F.coalesce("__d", F.lit(0.0))).otherwise(F.lit(0.0))
+    return with_distances(at, __d=~F.col("__river")).withColumn(name, A.carved(F.col(units), inside, F.col("__scour"), **depth)).drop("__d", "__d_r", "__d_c", "__river", "__scour")
