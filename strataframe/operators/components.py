@@ -46,8 +46,10 @@ def contracted(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id")).distinct().withColumn("root", F.col("id")))
 
 
+@tidied
 def level_lakes(cells: DataFrame, column: str, lake: Column, name: str = "level") -> DataFrame:
     """cells and the column with each lake at its lowest shore cell; lakes without a shore don't change."""
+    cells = cut(cells)  # read five times
     labels = components(cells, lake)
     at = cells.join(labels, ["r", "c"], "left")
     ring = shore(at, "label").join(cells.select("r", "c", F.col(column).alias("v")), ["r", "c"])

@@ -12,6 +12,7 @@ from ..functions import algebra as A
 from ..functions import noise as N
 from ..operators import distance as D
 from ..operators.components import level_lakes
+from ..sources.store import tidied
 
 
 @dataclass(frozen=True)
@@ -114,17 +115,18 @@ class Recipe:
     def build(self, cells: DataFrame, elevation: str = "elev") -> DataFrame:
         """cells with the layers applied to the elevation, in order.
 
-        Layers with masks by altitude or without are narrow; a warp, and the feature masks of one column, add one distance.
+        Layers with masks by altitude or without are narrow; warps, coasts and feature masks share one pass of distances.
         """
         out = cells.withColumns({"__x": F.col("c").cast("double"), "__y": F.col("r").cast("double")})
         masks = [getattr(layer, "mask", None) for layer in self.layers]
-        features = list(dict.fromkeys(m.column for m in masks if isinstance(m, FeatureMask) and m.column in cells.columns))
-        far = {column: f"__d{k}" for k, column in enumerate(features)}  # layers change the elevation, not where features are
-        for column, d in far.items():
-            out = out.join(D.distance(cells, F.col(column), d).select("r", "c", d), ["r", "c"])
+        features = [m.column for m in masks if isinstance(m, FeatureMask) and m.column in cells.columns]
+        features += [x.river if isinstance(x, RiverWarpLayer) else x.sea for x in self.layers if isinstance(x, RiverWarpLayer | CoastLayer)]
+        far = {column: f"__d{k}" for k, column in enumerate(dict.fromkeys(features))}  # layers change the elevation, not where features are
+        if far:
+            out = D.with_distances(out, **{d: F.col(column) for column, d in far.items()})
         for layer in self.layers:
             out = self._apply(out, layer, elevation, far)
-        return out.drop("__x", "__y", *far.values())
+        return out.drop("__x", "__y", *(f"{d}{x}" for d in far.values() for x in ("", "_r", "_c")))
 
     @staticmethod
     def _weight(mask: Mask, elevation: str, far: dict[str, str]) -> Column:
@@ -140,16 +142,15 @@ class Recipe:
         if isinstance(layer, RiverWarpLayer):
             if layer.width not in columns:
                 raise ValueError(f"no column {layer.width}")
-            warped = D.warp_field(cells, F.col(layer.river), F.col(layer.width), F.lit(layer.strength), layer.reach)
+            warped = D.warped(cells, far[layer.river], F.col(layer.width), F.lit(layer.strength), layer.reach)
             return warped.withColumns({"__x": x + F.col("warp_x"), "__y": y + F.col("warp_y")}).select(columns)
         if isinstance(layer, LakeLayer):
             level = level_lakes(cells, elevation, F.col(layer.lake), "__level")
             return level.withColumn(elevation, F.when(F.col(layer.lake), F.col("__level") - layer.depth).otherwise(F.col(elevation))).select(columns)
         if isinstance(layer, CoastLayer):
-            at = D.distance(cells, F.col(layer.sea), "__d").select("r", "c", "__d")
             reach = F.when(F.col(elevation) - layer.level > layer.cliff_height, F.lit(layer.cliff)).otherwise(F.lit(layer.beach))
-            weight = F.coalesce(A.smoothstep(F.col("__d") / reach), F.lit(1.0))
-            return cells.join(at, ["r", "c"]).withColumn(elevation, F.lit(layer.level) + (F.col(elevation) - layer.level) * weight).select(columns)
+            weight = F.coalesce(A.smoothstep(F.col(far[layer.sea]) / reach), F.lit(1.0))
+            return cells.withColumn(elevation, F.lit(layer.level) + (F.col(elevation) - layer.level) * weight).select(columns)
         mask = getattr(layer, "mask", None)
         if isinstance(mask, FeatureMask) and mask.column not in far:  # weighs nothing in
             return cells.withColumn(elevation, F.col(elevation) + F.lit(0.0))
@@ -202,18 +203,21 @@ def tectonic_pass(
     return cells.withColumn(elevation, F.when(where, F.col(elevation) + noise * F.lit(amplitude)).otherwise(F.col(elevation))).drop("__noise")
 
 
+@tidied
+def _smoothed(cells: DataFrame, mask: str, sigma: float) -> DataFrame:
+    """cells and __k: the mask blurred, where it is more than a half."""
+    from ..operators.focal import gaussian
+
+    blurred = gaussian(cells.withColumn("__v", F.col(mask).cast("double")), "__v", sigma, "__b")
+    return cells.join(blurred, ["r", "c"]).withColumn("__k", F.col("__b") > 0.5).drop("__b")
+
+
 def roughened(cells: DataFrame, mask: str, seed: int = 42, scale: float = 20.0, magnitude: float = 10.0, persistence: float = 0.5, lacunarity: float = 2.0, octaves: int = 3, kind: str = "FBM", pre_smooth: float = 0.0, name: str = "rough") -> DataFrame:
     """cells and the mask with a fractal border: its signed distance displaced by noise. Optionally blurred before."""
-    at = cells
-    if pre_smooth > 0:
-        from ..operators.focal import gaussian
-
-        blurred = gaussian(cells.withColumn("__v", F.col(mask).cast("double")), "__v", pre_smooth, "__b")
-        at = cells.join(blurred, ["r", "c"]).withColumn(mask, F.col("__b") > 0.5).drop("__b")
-    sdf = D.signed_distance(at, F.col(mask), "__sdf")
+    at = _smoothed(cells, mask, pre_smooth) if pre_smooth > 0 else cells.withColumn("__k", F.col(mask))
     f = 1.0 / max(scale, 1e-4)
-    noisy = N.add(cells, "__noise", N.fractal(N.perlin, octaves, persistence, lacunarity, kind), F.col("c") * F.lit(f), F.col("r") * F.lit(f), seed)
-    return noisy.join(sdf, ["r", "c"]).withColumn(name, F.col("__sdf") + F.col("__noise") * F.lit(magnitude) < 0).drop("__sdf", "__noise")
+    noisy = N.add(D.with_signed_distance(at, F.col("__k"), "__sdf"), "__noise", N.fractal(N.perlin, octaves, persistence, lacunarity, kind), F.col("c") * F.lit(f), F.col("r") * F.lit(f), seed)
+    return noisy.withColumn(name, F.col("__sdf") + F.col("__noise") * F.lit(magnitude) < 0).drop("__k", "__sdf", "__noise")
 
 
 def fractal_mask(cells: DataFrame, mask: str, dimension: float, scale: float = 20.0, seed: int = 42, name: str = "rough") -> DataFrame:
