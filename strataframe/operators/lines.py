@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.noise import M
 from ..sources.store import cut, tidied
-from .blocks import SIZE, over_blocks
+from .blocks import SIZE, mask_over_blocks, over_blocks
 from .components import components
-from .distance import distance
+from .distance import distances
 
 
 def simplified(points: np.ndarray, tolerance: float) -> np.ndarray:
@@ -155,11 +155,13 @@ def _along(at: Column) -> Column:
 
 
 def bridged(cells: DataFrame, mask: Column, gap: float, name: str = "bridged") -> DataFrame:
-    """cells and a mask whose gaps up to twice so many cells are closed: grown by gap, then shrunk by it."""
-    at = cells.withColumn("__m", F.coalesce(mask, F.lit(False)))
-    wide = at.join(distance(at, F.col("__m"), "dw").select("r", "c", "dw"), ["r", "c"]).withColumn("__w", F.coalesce(F.col("dw") <= gap, F.lit(False)))
-    back = wide.join(distance(wide, ~F.col("__w"), "db").select("r", "c", "db"), ["r", "c"])
-    return back.withColumn(name, F.col("__m") | (F.col("__w") & F.coalesce(F.col("db") > gap, F.lit(True)))).drop("__m", "__w", "dw", "db")
+    """cells and a mask whose gaps up to twice so many cells are closed: grown by gap, then shrunk by it. Blocks have a margin for both."""
+
+    def rule(a: np.ndarray, there: np.ndarray, r0: int, c0: int) -> np.ndarray:
+        wide = a | (there & (distances(a) <= gap))
+        return a | (wide & (distances(there & ~wide) > gap))
+
+    return mask_over_blocks(cells, mask, rule, 2 * math.ceil(gap), name)
 
 
 def thinned(image: np.ndarray, passes: int) -> np.ndarray:
@@ -182,16 +184,19 @@ def thinned(image: np.ndarray, passes: int) -> np.ndarray:
 
 @tidied
 def skeleton(cells: DataFrame, mask: Column, per_shuffle: int = 16, size: int = SIZE) -> DataFrame:
-    """(r, c) of the mask's centre lines, one cell wide: thinned until a pass changes nothing. Each pass looks two cells far; blocks have that margin for each pass taken at once."""
-    out = cells.select("r", "c", F.coalesce(mask, F.lit(False)).cast("double").alias("m"))
+    """(r, c) of the mask's centre lines, one cell wide: thinned until a pass changes nothing. Each pass looks two cells far; blocks have that margin for each pass taken at once.
+
+    Only the mask's cells go into the blocks: a cell that is not there and one outside the mask are the same to a pass.
+    """
+    out = cut(cells.where(mask).select("r", "c", F.lit(1.0).alias("m")))
     while True:
         after = over_blocks(out, ["m"], "n", lambda a, r0, c0: thinned(np.nan_to_num(a) > 0, per_shuffle).astype(float), 2 * per_shuffle, size)
-        after = cut(after)
-        same = after.agg(F.sum("n")).first()[0] == out.agg(F.sum("m")).first()[0]
-        out = after.withColumnRenamed("n", "m")
+        after = cut(after.where("n > 0").withColumnRenamed("n", "m"))
+        same = after.count() == out.count()
+        out = after
         if same:
             break
-    return out.where("m > 0").select("r", "c")
+    return out.select("r", "c")
 
 
 def skeleton_edges(thin: DataFrame) -> DataFrame:
