@@ -760,3 +760,14 @@ def test_lines_alike_in_a_large_bucket_of_unlike_ones_are_found(spark):
     bits = {(r["a"], r["b"]) for r in near.join(sigs.withColumnsRenamed({"id": "a", "sig": "x"}), "a").join(sigs.withColumnsRenamed({"id": "b", "sig": "y"}), "b").where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= line_dedup.FEW_DISTANCE).select("a", "b").collect()}
     assert len(bits) > 30
     assert all(got.get(a, -1) == got.get(b, -2) for a, b in bits)
+
+
+def test_lines_meet_on_every_block_that_they_share(spark):
+    """Lines 1 and 2 share only the commonest of line 1's blocks; lines 3 and 4 one block of eight."""
+    rows = [(1, [12, 16, 20, 24, 32], False), (2, [32], False)] + [(10 + b, [b], False) for b in (12, 16, 20, 24)] + [(50, [32], False)]
+    rows += [(3, list(range(100, 132, 4)), True), (4, list(range(128, 160, 4)), True)]
+    met = line_dedup._met(spark.createDataFrame(rows, "h long, blocks array<bigint>, full boolean"))
+    got = {}
+    for x in met.collect():
+        got.setdefault(x["key"], set()).add(x["id"])
+    assert got[32] == {1, 2, 50} and got[128] == {3, 4} and got[12] == {1, 22}
