@@ -771,3 +771,25 @@ def test_lines_meet_on_every_block_that_they_share(spark):
     for x in met.collect():
         got.setdefault(x["key"], set()).add(x["id"])
     assert got[32] == {1, 2, 50} and got[128] == {3, 4} and got[12] == {1, 22}
+
+
+def test_only_near_equal_lines_leave_the_full_comparison(spark, monkeypatch):
+    """400 lines that share three of six words: many of their pairs have close SimHashes, few are near-equal."""
+    from strataframe.llm import graph
+
+    rng = np.random.default_rng(6)
+    lines = [" ".join(["alpha", "beta", "gamma", *("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 9)) for _ in range(3))]) for _ in range(400)]
+    texts = spark.createDataFrame([(i, x, x, 6) for i, x in enumerate([*lines, lines[0][:-1] + "y"])], "id long, g0 string, norm string, n int")
+    texts = texts.select("id", F.xxhash64("g0").alias("g"), "n", "norm", F.expr(line_dedup._CODES).alias("codes"), F.xxhash64(F.lit("")).alias("digits"))
+    sizes, whole = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: [out := whole(df), sizes.append(out.count())][0])
+    groups = line_dedup._groups(texts, texts.select(F.lit(7).cast("long").alias("key"), "id"), 0.85)
+    assert groups is None or {(r["h"], r["comp"]) for r in groups.collect()} == {(0, 0), (400, 0)}
+    assert max(sizes) < 3 * 401
+
+
+def test_lines_of_other_digits_share_no_block(spark):
+    text = "order of seven red apples 12\norder of seven red apples, 12!\norder of seven red apples 13\n(12) order of seven red apples"
+    rows = {r["at"]["line"]: set(r["blocks"]) for r in line_dedup._line_rows(spark.createDataFrame([(1, text, "en", "a", 1)], DOC)).collect()}
+    assert rows[0] == rows[1] and rows[0] & rows[3]
+    assert not rows[0] & rows[2]
