@@ -7,7 +7,8 @@ empty segments, and every candidate is verified exactly.
 
 Before it, two exact reductions over shared-nothing partitions of the token universe: tokens that occur
 in one distinct set only can't be in any intersection, and a document of which more than a quarter are
-such tokens has no link. Neither loses a link. Tokens travel as packed arrays, one row a (task, partition).
+such tokens has no link. Neither loses a link. Tokens travel as packed arrays, one row a (task, partition);
+the universe goes through in SLICES passes, each of which reads all documents and sends its part of the tokens.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from .graph import linked_groups
-from .shared import cut, discard, parts, small_batches
+from .shared import cut, discard, parts, small_batches, union_all
 
 #: Tokens that a task gathers before it sends them on.
 FLUSH = 1 << 20
+#: Passes over the documents, each with its part of the token universe: the shuffle of all tokens is the peak of the disk.
+SLICES = 3
 #: Words of a parity sketch's folded form, and so of the shortest sketch.
 FOLD = 16
 #: Distinct sets that may have a token for it to be rare.
@@ -63,17 +66,20 @@ def _unpacked(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np
     return np.repeat(get("fps", np.int64), counts), np.repeat(get("ns", np.uint32), counts), get("tokens", H.U)
 
 
-def _tokens_of(sets: Callable[[list[bytes]], list[np.ndarray]], places: int) -> Callable:
+def _tokens_of(sets: Callable[[list[bytes]], list[np.ndarray]], places: int, part: int = 0, slices: int = 1) -> Callable:
+    """Of each batch its documents (with the first part of the universe only), and this part's tokens of the distinct sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of this task's distinct sets; copies in other tasks meet later
-        held: list[tuple[int, np.ndarray]] = []
+        held: list[tuple[int, int, np.ndarray]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                length = np.array([len(x) for _, x in held])
-                tokens = np.concatenate([x for _, x in held])
-                yield from _packed(np.repeat(np.array([f for f, _ in held], np.int64), length), np.repeat(length.astype(np.uint32), length), tokens, (tokens % H.U(places)).astype(np.int32))
+                length = np.array([len(x) for _, _, x in held])
+                tokens = np.concatenate([x for _, _, x in held])
+                fps, ns = (np.repeat(np.array([x[i] for x in held], kind), length) for i, kind in ((0, np.int64), (1, np.uint32)))
+                yield from _packed(fps, ns, tokens, (tokens % H.U(places)).astype(np.int32))
 
         for batch in batches:
             rows, ids = H.texts(batch["text"]), batch["doc_id"].to_pylist()
@@ -85,9 +91,11 @@ def _tokens_of(sets: Callable[[list[bytes]], list[np.ndarray]], places: int) ->
                         docs[k].append(v)
                     if len(tokens) and fp not in seen:
                         seen.add(fp)
-                        held.append((fp, tokens))
-                        size += len(tokens)
-                yield _rows(docs)
+                        own = tokens[(tokens >> H.U(32)) % H.U(slices) == part] if slices > 1 else tokens
+                        held.append((fp, len(tokens), own))
+                        size += len(own)
+                if part == 0:
+                    yield _rows(docs)
                 if size >= FLUSH:
                     yield from flush()
                     held, size = [], 0
@@ -261,11 +269,13 @@ def ngram_components(docs: DataFrame, sets: Callable[[list[bytes]], list[np.ndar
     spark = docs.sparkSession
     small_batches(spark)
     places = parts(spark)
-    sent = docs.select("doc_id", "text").mapInArrow(_tokens_of(sets, places), _PACKED)
-    found = cut(sent.repartition(places, "p").mapInArrow(_shared(places), _PACKED))
-    listed = found.where("n is not null").select("doc_id", "n", "fp")
-    packs = found.where("tokens is not null")
+    texts = docs.select("doc_id", "text")
+    few = -(-places // SLICES)  # a pass has a part of the tokens, and a row for each (task, partition)
+    found = [cut(texts.mapInArrow(_tokens_of(sets, few, part, SLICES), _PACKED).repartition(few, "p").mapInArrow(_shared(places), _PACKED)) for part in range(SLICES)]
+    listed = found[0].where("n is not null").select("doc_id", "n", "fp")
+    packs = union_all(found).where("tokens is not null")
     full = cut(packs.repartition(places, "p").mapInArrow(_candidates(tau), "id long, n long, tokens array<long>, fold array<long>, sketch array<long>"))
+    discard(*found[1:])
     keys = full.select("id", "n", "tokens").mapInArrow(_signatures(tau, spare), "key long, id long, grp int, spare int")
     buckets = _prefixes(keys).withColumn("sig", F.lit(None).cast("long"))
 

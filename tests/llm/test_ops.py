@@ -793,3 +793,16 @@ def test_lines_of_other_digits_share_no_block(spark):
     rows = {r["at"]["line"]: set(r["blocks"]) for r in line_dedup._line_rows(spark.createDataFrame([(1, text, "en", "a", 1)], DOC)).collect()}
     assert rows[0] == rows[1] and rows[0] & rows[3]
     assert not rows[0] & rows[2]
+
+
+def test_tokens_travel_in_slices_of_the_universe(docs):
+    batches = [docs.select("doc_id", "text").toArrow().to_batches()[0]]
+    n = ngram_join.SLICES
+    sent = lambda *part: list(ngram_join._tokens_of(hashing.shingles, 4, *part)(iter(batches)))
+    passes, whole = [sent(k, n) for k in range(n)], sent()
+    bytes_of = lambda out: sum(len(x.as_py()) for b in out for x in b["tokens"] if x.is_valid)
+    assert max(map(bytes_of, passes)) < 0.5 * bytes_of(whole)
+    triples = lambda out: Counter(zip(*(x.tolist() for x in ngram_join._unpacked([b.filter(b["tokens"].is_valid()) for b in out])), strict=True))
+    assert sum(map(triples, passes), Counter()) == triples(whole)
+    ids = [[x for b in out for x, there in zip(b["doc_id"].to_pylist(), b["n"].is_valid().to_pylist(), strict=True) if there] for out in passes]
+    assert ids[0] == batches[0]["doc_id"].to_pylist() and not any(ids[1:])
