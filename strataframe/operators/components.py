@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import cut, tidied
-from .focal import shore
+
+#: Links that one task contracts; of more, rounds over the table leave links of roots only.
+FEW_LINKS = 1 << 20
 
 
 @tidied
@@ -29,10 +35,28 @@ def components(cells: DataFrame, mask: Column, corners: bool = False, name: str
     return runs.join(groups, runs["run"] == groups["id"], "left").select("r", "c", F.coalesce("root", "run").alias(name))
 
 
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links (u, v) -> (id, root): ids point to lower ones, and what they point to is taken up to its root."""
+    held = [(np.asarray(b["u"]), np.asarray(b["v"])) for b in batches if len(b)]
+    if not held:
+        return
+    u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    up = np.arange(len(ids))
+    while (up[u] != up[v]).any():
+        np.minimum.at(up, np.maximum(up[u], up[v]), np.minimum(up[u], up[v]))
+        while (up != up[up]).any():
+            up = up[up]
+    yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(ids[up], pa.int64())], names=["id", "root"])
+
+
 @tidied
 def contracted(links: DataFrame) -> DataFrame:
-    """links (u, v) -> (id, root): the least id that each is connected with."""
+    """links (u, v), long -> (id, root): the least id that each is connected with."""
     edges = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if edges.count() <= FEW_LINKS:
+        return edges.coalesce(1).mapInArrow(_roots, "id long, root long")
     while True:
         ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         if not ends.groupBy("u").agg((F.sum("up") + F.max("down")).alias("k")).where("k > 1").take(1):
@@ -49,12 +73,14 @@ def contracted(links: DataFrame) -> DataFrame:
 @tidied
 def level_lakes(cells: DataFrame, column: str, lake: Column, name: str = "level") -> DataFrame:
     """cells and the column with each lake at its lowest shore cell; lakes without a shore don't change."""
-    cells = cut(cells)  # read five times
-    labels = components(cells, lake)
-    at = cells.join(labels, ["r", "c"], "left")
-    ring = shore(at, "label").join(cells.select("r", "c", F.col(column).alias("v")), ["r", "c"])
-    lowest = ring.groupBy("label").agg(F.min("v").alias("low"))
-    return at.join(lowest, "label", "left").withColumn(name, F.coalesce("low", F.col(column))).drop("label", "low")
+    cells = cut(cells)  # read three times
+    labels = components(cells, lake, name="__label")
+    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)))
+    ring = labels.select("r", "c", "__label", steps.alias("s")).select((F.col("r") + F.col("s.i")).alias("r"), (F.col("c") + F.col("s.j")).alias("c"), "__label")
+    dry = cells.where(~F.coalesce(lake, F.lit(False))).select("r", "c", F.col(column).alias("__v"))
+    lowest = ring.join(dry, ["r", "c"]).groupBy("__label").agg(F.min("__v").alias("__low"))
+    levels = labels.join(lowest, "__label").select("r", "c", "__low")
+    return cells.join(levels, ["r", "c"], "left").withColumn(name, F.coalesce("__low", F.col(column))).drop("__low")
 
 
 def south_bank(cells: DataFrame, zone: Column, river: Column, columns: int = 20) -> DataFrame:

@@ -102,3 +102,48 @@ def test_only_the_mask_is_thinned(spark, monkeypatch):
     want = {tuple(map(int, x)) for x in np.argwhere(lines.thinned(mask, 100))}
     assert {(x["r"], x["c"]) for x in got.collect()} == want
     assert max(seen) == mask.sum()
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_links_of_one_task_and_of_rounds(spark, monkeypatch, few):
+    from strataframe.operators import components
+
+    monkeypatch.setattr(components, "FEW_LINKS", few)
+    rng = np.random.default_rng(10)
+    links = [*((int(a), int(b)) for a, b in rng.integers(0, 400, (180, 2))), *((i + 1, i) for i in range(1000, 1060)), (7, 7)]
+    least = {x: x for link in links if link[0] != link[1] for x in link}
+    for _ in least:
+        for a, b in links:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = components.contracted(spark.createDataFrame(links, "u long, v long")).collect()
+    assert sorted((x["id"], x["root"]) for x in got) == sorted(least.items())
+
+
+def test_lakes_take_one_join_of_their_cells(spark, monkeypatch):
+    """Links in one task need no rounds, and cells are joined with their level only."""
+    from strataframe.operators import components
+    from strataframe.sources import store
+
+    lake = np.random.default_rng(11).random((25, 20)) < 0.4
+    cells = spark.createDataFrame([(r, c, bool(v), float((r * 7 + c * 13) % 31), "x") for (r, c), v in np.ndenumerate(lake)], "r int, c int, m boolean, elev double, name string")
+    plans, whole = [], store.cut
+    seen = lambda df: [plans.append(df._jdf.queryExecution().optimizedPlan().toString()), whole(df)][1]
+    monkeypatch.setattr(components, "cut", seen)
+    monkeypatch.setattr(store, "cut", seen)
+    got = {(x["r"], x["c"]): x["level"] for x in components.level_lakes(cells, "elev", F.col("m")).collect()}
+    assert plans[-1].count("Join ") == 3 and len(plans) <= 6  # with the ring's and the levels' own
+    elev = {(r, c): float((r * 7 + c * 13) % 31) for r, c in np.ndindex(lake.shape)}
+    near = lambda x, corners: [(x[0] + i, x[1] + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (corners or not i or not j) and (x[0] + i, x[1] + j) in elev]
+    want, left = dict(elev), {x for x in elev if lake[x]}
+    while left:
+        part, todo = set(), [left.pop()]
+        while todo:
+            x = todo.pop()
+            part.add(x)
+            fresh = [y for y in near(x, False) if y in left]
+            left.difference_update(fresh)
+            todo += fresh
+        ring = [elev[y] for x in part for y in near(x, True) if not lake[y]]
+        want |= dict.fromkeys(part, min(ring)) if ring else {}
+    assert got == want
