@@ -12,7 +12,7 @@ from ..functions import algebra as A
 from ..functions import noise as N
 from ..operators import distance as D
 from ..operators.components import level_lakes
-from ..sources.store import tidied
+from ..sources.store import cut, tidied
 
 
 @dataclass(frozen=True)
@@ -123,7 +123,7 @@ class Recipe:
         features += [x.river if isinstance(x, RiverWarpLayer) else x.sea for x in self.layers if isinstance(x, RiverWarpLayer | CoastLayer)]
         far = {column: f"__d{k}" for k, column in enumerate(dict.fromkeys(features))}  # layers change the elevation, not where features are
         if far:
-            out = D.with_distances(out, **{d: F.col(column) for column, d in far.items()})
+            out = _with_far(out, far)
         for layer in self.layers:
             out = self._apply(out, layer, elevation, far)
         return out.drop("__x", "__y", *(f"{d}{x}" for d in far.values() for x in ("", "_r", "_c")))
@@ -169,6 +169,12 @@ class Recipe:
         return stage.end(__noise=noise).withColumn(elevation, F.col(elevation) + F.col("__noise") * F.lit(layer.amplitude) * weight).select(columns)
 
 
+@tidied
+def _with_far(cells: DataFrame, far: dict[str, str]) -> DataFrame:
+    """cells and the distances that layers need; cells are written first, as they are read three times for them."""
+    return D.with_distances(cut(cells), **{d: F.col(column) for column, d in far.items()})
+
+
 def tectonic_pass(
     cells: DataFrame,
     mode: str,

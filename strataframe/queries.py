@@ -570,7 +570,7 @@ select r, c, round(elev * (t * t * (3 - 2 * t)), 6) + 0.0 elev from g"""
 )
 def recipe_layers(spark, d):
     """Every kind of layer once: warp, rough noise, lakes, coast."""
-    cells = V.both(spark, d).withColumns({"lake": F.col("m") == 0, "sea": F.expr(_SEA), "width": F.lit(1.0)})
+    cells = V.both(spark, d).select("r", "c", "elev", "river", (F.col("m") == 0).alias("lake"), F.expr(_SEA).alias("sea"), F.lit(1.0).alias("width"))
     recipe = P.Recipe([P.RiverWarpLayer("bend", strength=2.0, reach=6.0), P.RoughLayer("rough", 4, 0.03, 50.0, "Billow", 1.5), P.LakeLayer("lakes"), P.CoastLayer("coast")])
     return recipe.build(cells).select("r", "c", rounded("elev").alias("elev"))
 

@@ -147,3 +147,13 @@ def test_lakes_take_one_join_of_their_cells(spark, monkeypatch):
         ring = [elev[y] for x in part for y in near(x, True) if not lake[y]]
         want |= dict.fromkeys(part, min(ring)) if ring else {}
     assert got == want
+
+
+def test_recipes_write_their_cells_before_distances(spark):
+    from strataframe.plans import recipes
+
+    left = spark.range(40).selectExpr("cast(id div 8 as int) r", "cast(id % 8 as int) c", "id * 1.0D elev")
+    right = spark.range(40).selectExpr("cast(id div 8 as int) r", "cast(id % 8 as int) c", "id % 9 = 0 sea")
+    out = recipes.Recipe([recipes.CoastLayer("coast")]).build(left.join(right, ["r", "c"]))
+    assert "Join " not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 40 and out.columns == ["r", "c", "elev", "sea"]
