@@ -165,7 +165,7 @@ _STEPS = "select i, j from range(-{k}, {k} + 1) a(i), range(-{k}, {k} + 1) b(j)
 select case when z >= 2 and kept then 1 when z >= 2 then 2 else 0 end active_mask, count(*) n from near group by 1"""
 )
 def erode_l1_sink(spark, d):
-    return focal.sink_strip(V.grid_o(spark, d), F.col("z") >= 2, 1).groupBy("active_mask").agg(F.count("*").alias("n"))
+    return focal.sink_strip(V.grid_o(spark, d).select("r", "c", "z"), F.col("z") >= 2, 1).groupBy("active_mask").agg(F.count("*").alias("n"))
 
 
 @query(

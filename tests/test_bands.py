@@ -149,6 +149,20 @@ def test_lakes_take_one_join_of_their_cells(spark, monkeypatch):
     assert got == want
 
 
+#: Columns that queries don't need, and so needn't carry through Python.
+UNREAD = {
+    "erode_l1_sink": ["o_totalprice", "o_orderstatus"],
+}
+
+
+@pytest.mark.parametrize("name", UNREAD)
+def test_only_needed_columns_are_carried(name, spark, sf):
+    plan = core.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    scans = [x.split("FileScan parquet ")[1].split("]")[0] for x in plan.splitlines() if "FileScan parquet " in x]
+    read = {x.split("#")[0].strip("[ ") for scan in scans for x in scan.split(",")}
+    assert scans and not read & set(UNREAD[name])
+
+
 def test_recipes_write_their_cells_before_distances(spark):
     from strataframe.plans import recipes
 
