@@ -258,7 +258,7 @@ _SEA = "(r * 100 + c) % 97 = 0"
 select r, c, round(taper, 6) + 0.0 taper, cast(round_even(trunc(elev * 2) * taper, 0) as int) units from t"""
 )
 def coastal_taper(spark, d):
-    at = D.taper(V.grid_o(spark, d), F.expr(_SEA), 10.0)
+    at = D.taper(V.grid_o(spark, d).select("r", "c", "elev"), F.expr(_SEA), 10.0)
     return at.select("r", "c", rounded("taper").alias("taper"), F.rint(A.to_units(F.col("elev")) * F.col("taper")).cast("int").alias("units"))
 
 

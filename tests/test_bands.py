@@ -151,6 +151,7 @@ def test_lakes_take_one_join_of_their_cells(spark, monkeypatch):
 
 #: Columns that queries don't need, and so needn't carry through Python.
 UNREAD = {
+    "coastal_taper": ["o_orderpriority", "o_orderstatus"],
     "erode_l1_sink": ["o_totalprice", "o_orderstatus"],
 }
 
