@@ -307,7 +307,7 @@ select r, c, round(case when z between 2 and 4 and not river then l.d / (l.d + h
 )
 def ramp(spark, d):
     mask = F.col("z").between(2, 4) & ~F.col("river")
-    at = D.between_ramp(V.both(spark, d), mask, F.col("river"), (F.col("z") == 5) & ~F.col("river"))
+    at = D.between_ramp(V.both(spark, d).select("r", "c", "z", "river"), mask, F.col("river"), (F.col("z") == 5) & ~F.col("river"))
     return at.select("r", "c", rounded("ramp").alias("ramp"), A.add_ramp(F.lit(0), F.col("ramp"), mask, 10.0).alias("delta"))
 
 

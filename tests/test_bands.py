@@ -153,6 +153,7 @@ def test_lakes_take_one_join_of_their_cells(spark, monkeypatch):
 UNREAD = {
     "coastal_taper": ["o_orderpriority", "o_orderstatus"],
     "erode_l1_sink": ["o_totalprice", "o_orderstatus"],
+    "ramp": ["o_totalprice", "o_orderstatus", "value"],
 }
 
 
