@@ -527,7 +527,7 @@ def _rough_sql(magnitude: float, persistence: float, scale: float, seed: int) ->
 
 @query(with_(E) + ", s as (select r, c, v > 100 k from grid_e)" + _rough_sql(4.0, 0.5, 8.0, 42))
 def roughen_mask(spark, d):
-    return P.roughened(V.grid_e(spark, d).withColumn("k", F.col("v") > 100), "k", 42, 8.0, 4.0).select("r", "c", "rough")
+    return P.roughened(V.grid_e(spark, d).select("r", "c", (F.col("v") > 100).alias("k")), "k", 42, 8.0, 4.0).select("r", "c", "rough")
 
 
 @query(with_(E) + ", s as (select r, c, v > 100 k from grid_e)" + _rough_sql(6.0, A.persistence_of(1.3), 8.0, 42))

@@ -154,6 +154,7 @@ UNREAD = {
     "coastal_taper": ["o_orderpriority", "o_orderstatus"],
     "erode_l1_sink": ["o_totalprice", "o_orderstatus"],
     "ramp": ["o_totalprice", "o_orderstatus", "value"],
+    "roughen_mask": ["event_type", "river"],
 }
 
 
