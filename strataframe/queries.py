@@ -549,7 +549,7 @@ def _blur_sql(source: str, value: str, sigma: float, out: str) -> str:
 @query(with_(E, "f as (select r, c, case when v > 100 then 1.0::double else 0.0::double end x from grid_e)", _blur_sql("f", "x", 1.0, "b")) + ", s as (select r, c, v > 0.5 k from b)" + _rough_sql(4.0, 0.5, 8.0, 42))
 def smooth_mask(spark, d):
     """A mask blurred before its border is made rough."""
-    return P.roughened(V.grid_e(spark, d).withColumn("k", F.col("v") > 100), "k", 42, 8.0, 4.0, pre_smooth=1.0).select("r", "c", "rough")
+    return P.roughened(V.grid_e(spark, d).select("r", "c", (F.col("v") > 100).alias("k")), "k", 42, 8.0, 4.0, pre_smooth=1.0).select("r", "c", "rough")
 
 
 def _component_sql(mask: str, corners: bool, table: str = "grid_o") -> str:

@@ -155,6 +155,7 @@ UNREAD = {
     "erode_l1_sink": ["o_totalprice", "o_orderstatus"],
     "ramp": ["o_totalprice", "o_orderstatus", "value"],
     "roughen_mask": ["event_type", "river"],
+    "smooth_mask": ["event_type", "river", "v"],
 }
 
 
