@@ -788,6 +788,23 @@ def test_only_near_equal_lines_leave_the_full_comparison(spark, monkeypatch):
     assert max(sizes) < 3 * 401
 
 
+def test_ids_that_share_many_buckets_are_compared_once(spark):
+    """30 ids that share 20 buckets have 435 pairs, and 8,700 places where they meet."""
+    from strataframe.llm import graph
+
+    tried = spark.sparkContext.accumulator(0)
+
+    def alike(x, y):
+        tried.add(1)
+        return {x, y} == {3, 17}
+
+    buckets = spark.range(20).select(F.col("id").alias("key")).crossJoin(spark.range(30)).select("key", "id", F.lit(0).alias("sig"))
+    sketches = spark.range(30).select("id", F.col("id").alias("sketch"))
+    groups = graph.linked_groups(buckets, lambda pairs: pairs.where("false"), sketches=sketches, near=F.udf(alike, "boolean"), exact=True, in_full=64)
+    assert sorted(map(tuple, groups.select("id", "comp").collect())) == [(3, 3), (17, 3)]
+    assert tried.value <= 435
+
+
 def test_lines_of_other_digits_share_no_block(spark):
     text = "order of seven red apples 12\norder of seven red apples, 12!\norder of seven red apples 13\n(12) order of seven red apples"
     rows = {r["at"]["line"]: set(r["blocks"]) for r in line_dedup._line_rows(spark.createDataFrame([(1, text, "en", "a", 1)], DOC)).collect()}
