@@ -805,6 +805,12 @@ def test_ids_that_share_many_buckets_are_compared_once(spark):
     assert tried.value <= 435
 
 
+def test_copies_of_a_line_do_not_meet(spark):
+    rows = [(1, [12, 16])] * 50 + [(2, [16, 20])] * 3 + [(3, [24])]
+    met = line_dedup._met(spark.createDataFrame(rows, "h long, blocks array<bigint>").repartition(4))
+    assert sorted(map(tuple, met.select("key", "id").collect())) == [(16, 1), (16, 2)]
+
+
 def test_lines_of_other_digits_share_no_block(spark):
     text = "order of seven red apples 12\norder of seven red apples, 12!\norder of seven red apples 13\n(12) order of seven red apples"
     rows = {r["at"]["line"]: set(r["blocks"]) for r in line_dedup._line_rows(spark.createDataFrame([(1, text, "en", "a", 1)], DOC)).collect()}
