@@ -805,6 +805,19 @@ def test_ids_that_share_many_buckets_are_compared_once(spark):
     assert tried.value <= 435
 
 
+def test_rows_carry_their_buckets_only_where_the_join_makes_the_links(spark, monkeypatch):
+    """Where pairs are verified after the join they are made distinct there; lists of buckets on all rows would multiply the shuffle."""
+    from strataframe.llm import graph
+
+    columns, whole = set(), graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: [columns.update(df.columns), whole(df)][1])
+    buckets = spark.range(20).select(F.col("id").alias("key")).crossJoin(spark.range(30)).select("key", "id", F.lit(0).alias("sig"))
+    sketches = spark.range(30).select("id", F.col("id").alias("sketch"))
+    groups = graph.linked_groups(buckets, lambda pairs: pairs.where("a = 3 and b = 17"), sketches=sketches, near=lambda x, y: y - x == 14, in_full=64)
+    assert sorted(map(tuple, groups.select("id", "comp").collect())) == [(3, 3), (17, 3)]
+    assert "buckets" not in columns
+
+
 def test_copies_of_a_line_do_not_meet(spark):
     rows = [(1, [12, 16])] * 50 + [(2, [16, 20])] * 3 + [(3, [24])]
     met = line_dedup._met(spark.createDataFrame(rows, "h long, blocks array<bigint>").repartition(4))
