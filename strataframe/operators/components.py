@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import cut, tidied
+from ..sources.store import cut, in_shuffle, tidied
 
 #: Links that one task contracts; of more, rounds over the table leave links of roots only.
 FEW_LINKS = 1 << 20
@@ -30,8 +30,8 @@ def components(cells: DataFrame, mask: Column, corners: bool = False, name: str
     runs = cut(runs.select("r", "c", code.alias("run")))
     reach = [0, -1, 1] if corners else [0]
     below = runs.select((F.col("r") + 1).alias("r"), F.explode(F.array(*(F.col("c") + x for x in reach))).alias("c"), F.col("run").alias("v"))
-    links = runs.join(below, ["r", "c"]).select(F.col("run").alias("u"), "v").distinct()
-    groups = contracted(links)
+    links = runs.join(in_shuffle(below), ["r", "c"]).select(F.col("run").alias("u"), "v").distinct()
+    groups = in_shuffle(contracted(links))
     return runs.join(groups, runs["run"] == groups["id"], "left").select("r", "c", F.coalesce("root", "run").alias(name))
 
 
@@ -63,9 +63,9 @@ def contracted(links: DataFrame) -> DataFrame:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = cut(both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = cut(both.join(in_shuffle(least), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(down, "u")
+        pairs = large.join(in_shuffle(down), "u")
         edges = cut(pairs.select("u", F.col("m").alias("v")).unionByName(pairs.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id")).distinct().withColumn("root", F.col("id")))
 
@@ -78,9 +78,9 @@ def level_lakes(cells: DataFrame, column: str, lake: Column, name: str = "level"
     steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)))
     ring = labels.select("r", "c", "__label", steps.alias("s")).select((F.col("r") + F.col("s.i")).alias("r"), (F.col("c") + F.col("s.j")).alias("c"), "__label")
     dry = cells.where(~F.coalesce(lake, F.lit(False))).select("r", "c", F.col(column).alias("__v"))
-    lowest = ring.join(dry, ["r", "c"]).groupBy("__label").agg(F.min("__v").alias("__low"))
-    levels = labels.join(lowest, "__label").select("r", "c", "__low")
-    return cells.join(levels, ["r", "c"], "left").withColumn(name, F.coalesce("__low", F.col(column))).drop("__low")
+    lowest = ring.join(in_shuffle(dry), ["r", "c"]).groupBy("__label").agg(F.min("__v").alias("__low"))
+    levels = labels.join(in_shuffle(lowest), "__label").select("r", "c", "__low")
+    return cells.join(in_shuffle(levels), ["r", "c"], "left").withColumn(name, F.coalesce("__low", F.col(column))).drop("__low")
 
 
 def south_bank(cells: DataFrame, zone: Column, river: Column, columns: int = 20) -> DataFrame:

@@ -35,6 +35,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_shuffle(df: DataFrame) -> DataFrame:
+    """df, to be joined by a shuffle of both sides: cells in Parquet take a fraction of their size in memory, and the planner goes by the files' size."""
+    return df.hint("merge")
+
+
 def tidied(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """An operator whose result is cut, after which all tables that it cut on its way are deleted, also if it fails.
 

@@ -65,3 +65,19 @@ def test_water_of_many_small_boxes(spark):
     assert time.perf_counter() - began < 10
     within = lambda p: ((p >= low) & (p <= low + 0.05)).all(axis=1).any()
     assert {i for i in got if i < 300} == {i for i in range(300) if within(ends[i, :2]) or within(ends[i, 2:])}
+
+
+def test_cells_are_joined_by_shuffle_and_not_sent_to_the_driver(spark, sf, monkeypatch):
+    """Tables of cells under the planner's limit for broadcasts as files may be many times that in a driver's memory."""
+    from strataframe import views
+    from strataframe.operators import components
+    from strataframe.sources import store
+
+    plans, whole = [], store.cut
+    for module in (store, components):
+        monkeypatch.setattr(module, "cut", lambda df: [plans.append(df._jdf.queryExecution().executedPlan().toString()), whole(df)][1])
+    for few in (components.FEW_LINKS, 0):
+        monkeypatch.setattr(components, "FEW_LINKS", few)
+        components.level_lakes(views.both(spark, sf), "elev", F.col("m") == 0)
+    assert sum("SortMergeJoin" in x for x in plans) >= 8
+    assert not any("BroadcastHashJoin" in x for x in plans)
